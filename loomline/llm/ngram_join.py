@@ -14,8 +14,10 @@ until one has at most e: no pair is lost and no bucket is capped.
 Equal sets are one class from the start. Classes that agree in a block are
 chained to the bucket's first class; connected chains are families of similar
 documents. Families are compared exactly (set sizes and intersections), in
-memory-bounded tasks; families larger than a task are split into chunks and
-every pair of chunks is one task. Inside a task a class that has been reached is
+memory-bounded tasks. A family larger than a task is first sketched again under
+other seeds, which separates documents that were chained by a shared passage
+only; what is still too large is split into chunks and every pair of chunks is
+one task. Inside a task a class that has been reached is
 compared no further, so a family of copies costs about one pass, and only a
 spanning forest leaves the task.
 """
@@ -27,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -36,6 +38,7 @@ from .scratch import Scratch, components, sized, table
 TASK_CLASSES = 1200
 TASK_BYTES = 12 << 20
 BAND = 1.6
+RESEEDS = 1
 
 
 @lru_cache(maxsize=65536)
@@ -65,14 +68,14 @@ def blocks_of(k: int, percent: int) -> tuple[int, int]:
     return most + 1 + spare, spare
 
 
-def sketch_keys(values: np.ndarray, percent: int) -> np.ndarray:
+def sketch_keys(values: np.ndarray, percent: int, seed_from: int = 0) -> np.ndarray:
     """Join keys of a set of shingle hashes: one for each filled block, for its own band and, if a partner there can be large enough, the next."""
     n, out = len(values), []
     own = band_of(n)
     bands = [own, own + 1] if 100 * n >= percent * band_start(own + 1) else [own]
     for k in bands:
         count, spare = blocks_of(k, percent)
-        seed = 0
+        seed = seed_from
         while True:
             h = W.mix(values ^ np.uint64((0x5851F42D4C957F2D * (seed * 4096 + k + 1)) & (2**64 - 1)))
             # the high half picks the block, the mixed whole is the bit's code
@@ -127,8 +130,7 @@ def _fetch(size: int):
                 if _signature(values)[0] == want[i]:
                     keep.append(i)
                     blobs.append(values.tobytes())
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(4), pa.array(blobs, pa.binary())], ["doc_id", "family", "chunks", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(blobs, pa.binary())], ["doc_id", "values"])
 
     return run
 
@@ -177,6 +179,24 @@ def _compare(percent: int):
     return run
 
 
+def _rekey(percent: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [sketch_keys(np.frombuffer(v, np.uint64), percent, seed * 16) for v in batch.column(2).to_pylist()]
+            to = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(to), pa.array(flat))], ["doc_id", "family", "keys"])
+
+    return run
+
+
+def _chains(rows: DataFrame, bucket: list[str], node: str, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) from the first node of every bucket to its other nodes."""
+    order = Window.partitionBy(*bucket).orderBy(node)
+    chained = rows.withColumn("a", F.first(node).over(order)).where(F.col("a") != F.col(node))
+    return scratch.keep(chained.groupBy("a", F.col(node).alias("b")).agg(F.lit(1).alias("one")).select("a", "b"))
+
+
 def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Documents linked by the Jaccard similarity of their word shingles.
 
@@ -194,28 +214,35 @@ def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: s
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     seen = scratch.keep(source.mapInArrow(_profile(size, percent), "doc_id long, n long, sig long, sig2 long, keys array<long>"))
 
-    # buckets: each class is chained to the first class of its bucket
-    from pyspark.sql import Window
-
     blocks = seen.where("n > 0").select("sig", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key").orderBy("sig")
-    chained = blocks.withColumn("a", F.first("sig").over(bucket)).where("a <> sig").groupBy("a", F.col("sig").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
-    chains = scratch.keep(chained)
-    profile = seen.select("doc_id", "n", "sig", "sig2")
+    chains = _chains(blocks, ["key"], "sig", scratch)
+    profile = scratch.keep(seen.select("doc_id", "n", "sig", "sig2"))
+    scratch.drop(seen)
     classes = profile.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     family = scratch.keep(components(chains, scratch).withColumnRenamed("node", "sig").withColumnRenamed("root", "family"))
 
     # classes of families, the sets of which are read again from the texts
     member = scratch.keep(family.join(classes, "sig").where("rep is not null").select("sig", "family", "rep", "n"))
-    sizes = member.groupBy("family").agg(F.count("*").alias("many"), F.sum(F.col("n") * 8).alias("bytes"))
+    wanted = member.select(F.col("rep").alias("doc_id"), "sig")
+    texts = source.join(sized(wanted, 16), "doc_id").select("doc_id", "text", "sig")
+    held = scratch.keep(texts.mapInArrow(_fetch(size), "doc_id long, values binary"))
+    plan = member.select(F.col("rep").alias("doc_id"), "family", (F.col("n") * 8).alias("bytes"))
+    for seed in range(1, RESEEDS + 1):
+        large = scratch.keep(plan.groupBy("family").agg(F.count("*").alias("many"), F.sum("bytes").alias("bytes")).where((F.col("many") > TASK_CLASSES) | (F.col("bytes") > TASK_BYTES)).select("family"))
+        if large.isEmpty():
+            break
+        inside = scratch.keep(plan.join(sized(large, 8), "family"))
+        keys = held.join(sized(inside, 24), "doc_id").select("doc_id", "family", "values").mapInArrow(_rekey(percent, seed), "doc_id long, family long, keys array<long>")
+        rows = keys.select("doc_id", "family", F.explode("keys").alias("key"))
+        again = _chains(rows, ["family", "key"], "doc_id", scratch)
+        split = components(again, scratch)
+        inner = inside.join(split, inside.doc_id == split.node).select("doc_id", F.xxhash64("family", "root").alias("family"), "bytes")
+        plan = scratch.keep(plan.join(sized(large, 8), "family", "left_anti").select("doc_id", "family", "bytes").unionByName(inner))
+    sizes = plan.groupBy("family").agg(F.count("*").alias("many"), F.sum("bytes").alias("bytes")).where("many > 1")
     chunks = sizes.select("family", F.greatest(F.lit(1), F.ceil(F.col("many") / TASK_CLASSES), F.ceil(F.col("bytes") / TASK_BYTES)).cast("int").alias("chunks"))
-    wanted = member.join(chunks, "family").select(F.col("rep").alias("doc_id"), "sig", "family", "chunks")
-    wanted = scratch.keep(wanted)
-    texts = source.join(sized(wanted, 28), "doc_id").select("doc_id", "text", "sig", "family", "chunks")
-    held = texts.mapInArrow(_fetch(size), "doc_id long, family long, chunks int, values binary")
     part = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    spread = held.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tasks = spread.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "values")
+    dealt = scratch.keep(plan.join(chunks, "family").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("doc_id", "family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
+    tasks = held.join(sized(dealt, 32), "doc_id").select("family", "i", "j", "doc_id", "values")
     edges = scratch.keep(tasks.groupBy("family", "i", "j").applyInArrow(_compare(percent), "a long, b long"))
     whole = components(edges.where("a <> b"), scratch).select(F.col("node").alias("rep"), F.col("root").alias("low"))
 

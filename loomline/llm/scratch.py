@@ -71,26 +71,25 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternating large-star and small-star rounds; every round is one written
     table, minima are combined before the shuffle and hot nodes are joined by a
-    splittable join. Loops (a = b) give a node that is its own root.
+    splittable join. Loops (a = b) are left out.
     """
-    both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, mark = scratch.keep(both), None
+    def mark(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = scratch.keep(both)
+    had = mark(now)
     while True:
-        had = now.where("a <> b").agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == had:
-            break
-        mark = had
-        und = now.where("a <> b").select("a", "b").unionAll(now.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+        und = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = und.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = und.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.keep(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).distinct()
-        new = scratch.keep(small.where("a <> b"))
-        scratch.drop(large)
-        if mark is not None:
-            scratch.drop(now)
-        now = new
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
+        new = scratch.keep(small.where("a <> b").distinct())
+        scratch.drop(now)
+        now, before, had = new, had, mark(new)
+        if before == had:
+            break
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionAll(nodes.select(F.col("root").alias("node"), "root").distinct())
 
