@@ -63,7 +63,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     sources = base.groupBy("source").agg(F.sum("size").alias("words"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     sources = scratch.keep(sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long")))
-    total = sources.agg(F.sum("words")).first()[0] or 0
+    total, count = sources.agg(F.sum("words"), F.count("*")).first()
+    total = total or 0
     level = _level(total, sources, repeats)
     share = F.col("weight") * F.lit(level.numerator / level.denominator)
     goal = F.least(share, F.col("words") * F.lit(float(repeats)))
@@ -77,18 +78,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
         shift = BITS * (LEVELS - depth)
         digits = F.shiftrightunsigned("hash", shift)
         inside = bound.select(F.col("source").alias("b_source"), F.col("prefix").alias("b_prefix"))
-        rows = base.join(sized(inside, 64), same & (F.shiftrightunsigned("hash", shift + BITS) == F.col("b_prefix")))
+        rows = base.join(sized(inside, 64, count), same & (F.shiftrightunsigned("hash", shift + BITS) == F.col("b_prefix")))
         summed = rows.groupBy("source", digits.alias("bucket")).agg(F.sum("size").alias("size"))
         order = Window.partitionBy("source").orderBy("bucket")
         found = summed.withColumn("before", F.sum("size").over(order) - F.col("size"))
-        found = found.join(sized(bound.select(F.col("source").alias("b_source"), "left", "below"), 64), same)
+        found = found.join(sized(bound.select(F.col("source").alias("b_source"), "left", "below"), 64, count), same)
         found = found.where(F.col("below") + F.col("before") <= F.col("left")).groupBy("source").agg(F.max_by(F.struct("bucket", (F.col("below") + F.col("before")).alias("below"), "size"), "bucket").alias("at"))
-        new = bound.join(sized(found.select(F.col("source").alias("b_source"), "at"), 64), same, "left")
+        new = bound.join(sized(found.select(F.col("source").alias("b_source"), "at"), 64, count), same, "left")
         columns = ["source", "source_size", "target", "whole", "left", F.coalesce("at.bucket", F.lit(-1)).alias("prefix"), F.coalesce("at.below", "below").alias("below"), F.coalesce("at.size", F.lit(0)).alias("last")]
         bound = scratch.keep(new.select(*columns))
     nearer = F.abs(F.col("below") + F.col("last") - F.col("left")) < F.abs(F.col("below") - F.col("left"))
     cut = bound.select(F.col("source").alias("b_source"), "source_size", "target", "whole", F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("cut"))
-    taken = base.join(sized(cut, 64), same)
+    taken = base.join(sized(cut, 64, count), same)
     copies = F.least(F.col("whole") + (F.col("hash") < F.col("cut")).cast("long"), F.lit(repeats).cast("long"))
     return taken.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
