@@ -361,23 +361,28 @@ def codec_of(path: str, pattern: str, ranks: dict[bytes, int] | None = None) ->
     return _CODECS[path, pattern]
 
 
-def _run(path: str, pattern: str, shared, make: Callable[[Codec, np.ndarray], tuple], fields: list[pa.DataType]):
+def _run(path: str, pattern: str, shared, make: Callable[[Codec, np.ndarray, str], tuple], fields: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path, pattern, shared.value)
         for batch in batches:
-            texts = (x.as_py() or "" for x in batch.column(batch.num_columns - 1))
-            rows = [make(codec, ids) for ids in codec.encode_all(texts)]
+            texts = batch.column(batch.num_columns - 1)
+            encoded = codec.encode_all(x.as_py() or "" for x in texts)
+            rows = [make(codec, ids, text) for ids, text in zip(encoded, texts, strict=True)]
             new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], *(f"v{i}" for i in range(len(fields)))])
 
     return run
 
 
-def _ids(codec: Codec, ids: np.ndarray) -> tuple:
-    return (ids,)
+def _ids(codec: Codec, ids: np.ndarray, text: pa.Scalar) -> tuple:
+    return (ids.astype(np.int32),)
 
 
-def _round_trip(codec: Codec, ids: np.ndarray) -> tuple:
+def _checked(codec: Codec, ids: np.ndarray, text: pa.Scalar) -> tuple:
+    return len(ids), ids.astype(np.int32), codec.decode(ids) == (text.as_buffer().to_pybytes() if text.is_valid else b"")
+
+
+def _round_trip(codec: Codec, ids: np.ndarray, text: pa.Scalar) -> tuple:
     listed = codec.text_of.take(ids)[:-1]
     return len(ids), hashlib.sha256(listed.tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
@@ -417,6 +422,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
     return source.mapInArrow(_run(path, pattern, shared, _round_trip, [pa.int64(), pa.string(), pa.string()]), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, exact): token ids and whether they decode to the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    kind = source.schema[0].dataType.simpleString()
+    return source.mapInArrow(_run(path, pattern, shared, _checked, [pa.int64(), pa.list_(pa.int32()), pa.bool_()]), f"doc_id {kind}, n_tokens long, ids array<int>, exact boolean")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -42,6 +42,15 @@ def _level(total: int, sources: DataFrame, repeats: int) -> Fraction:
         level = new
 
 
+def _hashed(docs: DataFrame, seed: int, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    base = docs.select("*", F.col(source_column).alias("mix_source"), word_count(F.col(text_column)).alias("mix_size"))
+    return base.withColumn("mix_hash", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_column), "mix_source", "mix_size"), 64 - BITS * LEVELS))
+
+
+def _copies(repeats: int, hash_column: str) -> Column:
+    return F.least(F.col("whole") + (F.col(hash_column) < F.col("cut")).cast("long"), F.lit(repeats).cast("long"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 0, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """How often every document is taken so that its source comes near its target.
 
@@ -56,9 +65,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     and add nothing. Rows that repeat id, source and size have one hash and share
     their fate. Other columns of the input are not read.
     """
+    base, cut = _plan(docs, weights, repeats, seed, id_column, text_column, source_column)
+    taken = base.join(cut, F.col("source").eqNullSafe(F.col("b_source")))
+    copies = _copies(repeats, "hash")
+    return taken.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 0, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """The mix itself: the rows of the input with all their columns, each as often as mix() takes it."""
+    _, cut = _plan(docs, weights, repeats, seed, id_column, text_column, source_column)
+    rows = _hashed(docs, seed, id_column, text_column, source_column).join(cut, F.col("mix_source").eqNullSafe(F.col("b_source")))
+    rows = rows.withColumn("mix_copies", _copies(repeats, "mix_hash")).where("mix_copies > 0")
+    rows = rows.withColumn("mix_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    return rows.select(*docs.columns)
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], repeats: int, seed: int, id_column: str, text_column: str, source_column: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, hash) of all documents, and for each source how often its documents are taken."""
     scratch = Scratch(docs.sparkSession)
-    base = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"))
-    base = base.withColumn("hash", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), "source", "size"), 64 - BITS * LEVELS))
+    base = _hashed(docs, seed, id_column, text_column, source_column).select(F.col(id_column).alias("doc_id"), F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), F.col("mix_hash").alias("hash"))
     base = scratch.keep(base)
     sources = base.groupBy("source").agg(F.sum("size").alias("words"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -89,9 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
         bound = scratch.keep(new.select(*columns))
     nearer = F.abs(F.col("below") + F.col("last") - F.col("left")) < F.abs(F.col("below") - F.col("left"))
     cut = bound.select(F.col("source").alias("b_source"), "source_size", "target", "whole", F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("cut"))
-    taken = base.join(sized(cut, 64, count), same)
-    copies = F.least(F.col("whole") + (F.col("hash") < F.col("cut")).cast("long"), F.lit(repeats).cast("long"))
-    return taken.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return base, sized(cut, 64, count)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
