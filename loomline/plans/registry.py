@@ -1,4 +1,14 @@
 """All queries over the driver's tables and their SQL for DuckDB."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import analytic, relational
+from .dialect import duck, spark_query
+
+_SHARED = relational.SHARED | analytic.SHARED
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: spark_query(text) for name, text in _SHARED.items()}
+SQL: dict[str, str] = {name: duck(text) for name, text in _SHARED.items()}
