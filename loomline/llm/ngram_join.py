@@ -12,7 +12,8 @@ more than e empty blocks also emit a sketch under the next seed, and so on,
 until one has at most e: no pair is lost and no bucket is capped.
 
 Equal sets are one class from the start. Classes that agree in a block are
-chained to the bucket's first class; connected chains are families of similar
+chained where the Hamming distance of a second sketch of SKETCH_BITS plain bits,
+again a lower bound, allows a link; connected chains are families of similar
 documents. Families are compared exactly (set sizes and intersections), in
 memory-bounded tasks. A family larger than a task is first sketched again under
 other seeds, which separates documents that were chained by a shared passage
@@ -38,6 +39,7 @@ from .scratch import Scratch, components, sized, table
 TASK_CLASSES = 1200
 TASK_BYTES = 12 << 20
 BAND = 1.6
+SKETCH_BITS = 2048
 RESEEDS = 1
 
 
@@ -104,19 +106,76 @@ def _signature(values: np.ndarray) -> tuple[int, int]:
     return int(W.mix(total).astype(np.int64)[0]), int(np.bitwise_xor.reduce(W.mix(one)).astype(np.int64)) if len(values) else 0
 
 
+def parity(values: np.ndarray) -> bytes:
+    """A sketch of SKETCH_BITS bits; every shingle flips one."""
+    bits = (W.mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def _near(percent: int):
+    """Rows (key, node, n, sketch) in runs of one key in; edges that join the nodes of a bucket whose sketches allow a link out."""
+
+    def far(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        both = n[i] + n[j]
+        return (apart * (100 + percent) > both * (100 - percent)) | (np.minimum(n[i], n[j]) * 100 < percent * np.maximum(n[i], n[j]))
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        keys, nodes, n = (rows.column(i).to_numpy() for i in range(3))
+        sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(len(keys), -1)
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.concatenate([at, [len(keys)]]))
+        two = at[sizes == 2]
+        two = two[~far(two, two + 1, n, sketch)]
+        a, b = [nodes[two]], [nodes[two + 1]]
+        for start, size in zip(at[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            rest = np.arange(start, start + size)
+            while len(rest):
+                queue, rest = [int(rest[0])], rest[1:]
+                root = nodes[queue[0]]
+                while queue and len(rest):
+                    i = queue.pop()
+                    hit = ~far(np.full(len(rest), i), rest, n, sketch)
+                    if hit.any():
+                        found, rest = rest[hit], rest[~hit]
+                        queue += found.tolist()
+                        a.append(np.full(len(found), root))
+                        b.append(nodes[found])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch.column(0).to_numpy()
+            stop = int(np.searchsorted(keys, keys[-1]))
+            if held and (stop or held[-1].column(0)[0].as_py() != keys[0]):
+                yield settle(pa.Table.from_batches([*held, batch.slice(0, stop)]))
+                held = []
+            elif stop:
+                yield settle(pa.Table.from_batches([batch.slice(0, stop)]))
+            held.append(batch.slice(stop))
+        if held:
+            yield settle(pa.Table.from_batches(held))
+
+    return run
+
+
 def _profile(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sig, sig2, keys = [], [], [], []
+            n, sig, sig2, keys, sketches = [], [], [], [], []
             for values in _sets(batch.column(1), size):
                 n.append(len(values))
                 s = _signature(values)
                 sig.append(s[0])
                 sig2.append(s[1])
+                sketches.append(parity(values))
                 keys.append(sketch_keys(values, percent).view(np.int64) if len(values) else np.zeros(0, np.int64))
             to = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(sig2, pa.int64()), pa.ListArray.from_arrays(pa.array(to), pa.array(flat))], ["doc_id", "n", "sig", "sig2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(sig2, pa.int64()), pa.ListArray.from_arrays(pa.array(to), pa.array(flat)), pa.array(sketches, pa.binary())], ["doc_id", "n", "sig", "sig2", "keys", "sketch"])
 
     return run
 
@@ -124,13 +183,15 @@ def _profile(size: int, percent: int):
 def _fetch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, blobs = [], []
+            keep, blobs, sizes, sketches = [], [], [], []
             want = batch.column(2).to_pylist()
             for i, values in enumerate(_sets(batch.column(1), size)):
                 if _signature(values)[0] == want[i]:
                     keep.append(i)
                     blobs.append(values.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(blobs, pa.binary())], ["doc_id", "values"])
+                    sizes.append(len(values))
+                    sketches.append(parity(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(blobs, pa.binary())], ["doc_id", "n", "sketch", "values"])
 
     return run
 
@@ -190,11 +251,18 @@ def _rekey(percent: int, seed: int):
     return run
 
 
-def _chains(rows: DataFrame, bucket: list[str], node: str, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) from the first node of every bucket to its other nodes."""
+def _chains(rows: DataFrame, bucket: list[str], node: str, sketches: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between nodes that share a bucket and whose parity sketches are near enough for a link, or that a chain of such pairs connects."""
     order = Window.partitionBy(*bucket).orderBy(node)
-    chained = rows.withColumn("a", F.first(node).over(order)).where(F.col("a") != F.col(node))
-    return scratch.keep(chained.groupBy("a", F.col(node).alias("b")).agg(F.lit(1).alias("one")).select("a", "b"))
+    shared = rows.withColumn("before", F.lag(node).over(order)).where(F.col("before").isNull() | (F.col("before") != F.col(node)))
+    shared = shared.withColumn("after", F.lead(node).over(order)).where("before is not null or after is not null")
+    key = F.xxhash64(*bucket) if len(bucket) > 1 else F.col(bucket[0])
+    shared = scratch.keep(shared.select(key.alias("key"), F.col(node).alias("node")))
+    full = shared.join(sketches, "node").select("key", "node", "n", "sketch")
+    near = full.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near(percent), "a long, b long")
+    out = scratch.keep(near.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
+    scratch.drop(shared)
+    return out
 
 
 def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -212,10 +280,11 @@ def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: s
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    seen = scratch.keep(source.mapInArrow(_profile(size, percent), "doc_id long, n long, sig long, sig2 long, keys array<long>"))
+    seen = scratch.keep(source.mapInArrow(_profile(size, percent), "doc_id long, n long, sig long, sig2 long, keys array<long>, sketch binary"))
 
     blocks = seen.where("n > 0").select("sig", F.explode("keys").alias("key"))
-    chains = _chains(blocks, ["key"], "sig", scratch)
+    sketches = seen.where("n > 0").groupBy(F.col("sig").alias("node")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    chains = _chains(blocks, ["key"], "sig", sketches, percent, scratch)
     profile = scratch.keep(seen.select("doc_id", "n", "sig", "sig2"))
     scratch.drop(seen)
     classes = profile.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -225,7 +294,8 @@ def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: s
     member = scratch.keep(family.join(classes, "sig").where("rep is not null").select("sig", "family", "rep", "n"))
     wanted = member.select(F.col("rep").alias("doc_id"), "sig")
     texts = source.join(sized(wanted, 16), "doc_id").select("doc_id", "text", "sig")
-    held = scratch.keep(texts.mapInArrow(_fetch(size), "doc_id long, values binary"))
+    held = scratch.keep(texts.mapInArrow(_fetch(size), "doc_id long, n long, sketch binary, values binary"))
+    marks = held.groupBy(F.col("doc_id").alias("node")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     plan = member.select(F.col("rep").alias("doc_id"), "family", (F.col("n") * 8).alias("bytes"))
     for seed in range(1, RESEEDS + 1):
         large = scratch.keep(plan.groupBy("family").agg(F.count("*").alias("many"), F.sum("bytes").alias("bytes")).where((F.col("many") > TASK_CLASSES) | (F.col("bytes") > TASK_BYTES)).select("family"))
@@ -234,7 +304,7 @@ def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: s
         inside = scratch.keep(plan.join(sized(large, 8), "family"))
         keys = held.join(sized(inside, 24), "doc_id").select("doc_id", "family", "values").mapInArrow(_rekey(percent, seed), "doc_id long, family long, keys array<long>")
         rows = keys.select("doc_id", "family", F.explode("keys").alias("key"))
-        again = _chains(rows, ["family", "key"], "doc_id", scratch)
+        again = _chains(rows, ["family", "key"], "doc_id", marks, percent, scratch)
         split = components(again, scratch)
         inner = inside.join(split, inside.doc_id == split.node).select("doc_id", F.xxhash64("family", "root").alias("family"), "bytes")
         plan = scratch.keep(plan.join(sized(large, 8), "family", "left_anti").select("doc_id", "family", "bytes").unionByName(inner))
