@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,9 @@ def jaccard(rows: DataFrame, key: str, item: str, threshold: float) -> DataFrame
 def minhash_pairs(rows: DataFrame, key: str, item: str, threshold: float, bands: int = 50, width: int = 3, prime: int = 2147483647) -> DataFrame:
     """jaccard() by MinHash bands with fixed hash functions, candidates verified exactly."""
     one = rows.select(F.col(key).alias("k"), F.col(item).cast("long").alias("i")).distinct()
-    mins = [F.min(F.pmod((7919 * n + 104729) * F.pmod("i", F.lit(prime)) + 15485863 * n, F.lit(prime))) for n in range(bands * width)]
+    draw = random.Random(1)  # large factors: small ones would leave the order of small items as it is
+    family = [(draw.randrange(prime // 2, prime), draw.randrange(prime)) for _ in range(bands * width)]
+    mins = [F.min(F.pmod(F.lit(a) * F.pmod("i", F.lit(prime)) + F.lit(b), F.lit(prime))) for a, b in family]
     signed = one.groupBy("k").agg(F.array(*mins).alias("s"), F.collect_set("i").alias("items"))
     keys = F.array(*[F.xxhash64(F.lit(b), F.slice("s", b * width + 1, width)) for b in range(bands)])
     buckets = signed.select("k", F.explode(keys).alias("bucket"))
