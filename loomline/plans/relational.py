@@ -20,7 +20,7 @@ SHARED = {
     "a16_filtered_max": "SELECT max(p_retailprice) AS top FROM part WHERE p_size < 20",
     "a17_intersect": "SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_linestatus = 'O' AND l_quantity < 5",
     "a18_relational_division": "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(CASE WHEN o_orderstatus = 'F' THEN 1 END) > 0 AND count(CASE WHEN o_orderstatus = 'O' THEN 1 END) > 0",
-    "a19_range_count": "SELECT count(*) AS n FROM part WHERE p_retailprice BETWEEN 1000 AND 1500",
+    "a19_range_count": "SELECT count(*) AS n FROM part WHERE p_retailprice BETWEEN 920 AND 950",
     "a20_grouped_max": "SELECT p_brand, max(p_retailprice) AS top FROM part GROUP BY p_brand",
     "a21_join_sort_take": "SELECT c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
     "a22_max_having_count": "SELECT p_brand, max(p_retailprice) AS top FROM part WHERE p_size >= 10 GROUP BY p_brand HAVING count(*) >= 5",
@@ -46,7 +46,7 @@ SHARED = {
     "c03_put_split": "SELECT s_suppkey, ntile(5) OVER (ORDER BY s_name, s_suppkey) AS part_id FROM supplier",
     "c05_read_partition": "SELECT s_suppkey FROM (SELECT s_suppkey, ntile(5) OVER (ORDER BY s_name, s_suppkey) AS part_id FROM supplier) t WHERE part_id = 2",
     "c09_ancestor_walk": "WITH RECURSIVE up(node, anc, depth) AS (SELECT p_partkey, CAST(floor(p_partkey / 3) AS BIGINT), 1 FROM part WHERE p_partkey <= 60 UNION ALL SELECT node, CAST(floor(anc / 3) AS BIGINT), depth + 1 FROM up WHERE anc > 0) SELECT node, count(*) AS depth FROM up GROUP BY node",
-    "d16_range_query": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 1000 AND 1900 ORDER BY p_retailprice, p_partkey",
+    "d16_range_query": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 920 AND 950 ORDER BY p_retailprice, p_partkey",
     "d24_fallback_ladder": "SELECT c_custkey, coalesce(a.v, b.v, g.v) AS estimate FROM customer LEFT JOIN (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) a ON c_custkey = a.k LEFT JOIN (SELECT c_nationkey AS k, max(c_acctbal) AS v FROM customer WHERE c_acctbal > 9500 GROUP BY 1) b ON c_nationkey = b.k CROSS JOIN (SELECT max(c_acctbal) AS v FROM customer) g",
     "f01_inner": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
     "f02_inner_three_keys": "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_partkey = b.l_partkey WHERE a.l_quantity > 48",
