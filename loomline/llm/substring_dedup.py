@@ -179,7 +179,9 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_column: str = "doc_id", t
     groups = suffixes.repartition("key").sortWithinPartitions("key", "doc_id", "spot")
     runs = groups.mapInArrow(_walk, "doc_id long, start long, many long")
     runs = scratch.keep(runs.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("many").alias("lengths")).withColumnRenamed("doc_id", "run_id"))
-    cuts = source.join(sized(runs, 200), F.col("doc_id").eqNullSafe(F.col("run_id")), "left").select("doc_id", "text", "starts", "lengths")
+    many, spans = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
+    small = sized(runs, 1, 256 * many + 64 * spans)  # bytes of the rows and their arrays, with room to spare
+    cuts = source.join(small, F.col("doc_id").eqNullSafe(F.col("run_id")), "left").select("doc_id", "text", "starts", "lengths")
     return cuts.mapInArrow(_cut(size), "doc_id long, n_words long, n_removed long, kept string")
 
 
