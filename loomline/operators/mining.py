@@ -76,7 +76,7 @@ def item_predictions(ratings: DataFrame, asked: DataFrame, neighbours: int = 30,
     users, items = ratings.groupBy("user").agg(F.avg("stars").alias("ua")), ratings.groupBy("item").agg(F.avg("stars").alias("ia"))
     corr = pearson(ratings).where("corr > 0")
     both = corr.select("a", "b", "corr").unionAll(corr.select("b", "a", "corr")).toDF("item", "other", "corr")
-    near = asked.join(both, "item").join(ratings.toDF("user", "other", "r"), ["user", "other"])
+    near = asked.join(ratings.toDF("user", "other", "r"), "user").join(both, ["item", "other"])
     ranked = near.withColumn("nth", F.row_number().over(Window.partitionBy("user", "item").orderBy(F.round("corr", 9).desc(), "other")))
     voted = ranked.where(F.col("nth") <= neighbours).groupBy("user", "item").agg(F.count("*").alias("votes"), (F.sum(F.col("corr") * F.col("r")) / F.sum("corr")).alias("p"))
     full = asked.join(users, "user", "left").join(items, "item", "left").join(voted, ["user", "item"], "left")
@@ -89,7 +89,7 @@ def user_predictions(ratings: DataFrame, asked: DataFrame, neighbours: int = 30)
     averages = ratings.groupBy("user").agg(F.avg("stars").alias("ua"))
     corr = pearson(ratings, "user", "item").where("corr > 0")
     both = corr.select("a", "b", "corr").unionAll(corr.select("b", "a", "corr")).toDF("user", "other", "corr")
-    near = asked.join(both, "user").join(ratings.toDF("other", "item", "r"), ["other", "item"]).join(averages.toDF("other", "oa"), "other")
+    near = asked.join(ratings.toDF("other", "item", "r"), "item").join(both, ["user", "other"]).join(averages.toDF("other", "oa"), "other")
     ranked = near.withColumn("nth", F.row_number().over(Window.partitionBy("user", "item").orderBy(F.round("corr", 9).desc(), "other")))
     moved = ranked.where(F.col("nth") <= neighbours).groupBy("user", "item").agg((F.sum(F.col("corr") * (F.col("r") - F.col("oa"))) / F.sum("corr")).alias("d"))
     return asked.join(averages, "user", "left").join(moved, ["user", "item"], "left").select("user", "item", (F.col("ua") + F.coalesce("d", F.lit(0.0))).alias("prediction"))
