@@ -1,10 +1,12 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy graph search.
 
 The graph starts from k-means cells: a vector sits in its PROBES nearest cells
-and takes its DEGREE best neighbours there. A round of NN-descent brings the
-neighbours of a vector (its own and those that name it) together by a join;
-each of these is offered to the others, and whoever is better than a list's last
-entry enters it. A search starts at the query's own list and repeatedly opens
+and takes its DEGREE best neighbours there; cells larger than a task are cut into
+blocks and every pair of blocks is one task. A round of NN-descent brings the
+neighbours of a vector (its own and those that name it) together by a join; each
+of these is offered to the others unless both were there the round before, and
+whoever is better than a list's last entry enters it. Rounds end when at most
+CHANGED of the entries are new. A search starts at the query's own list and repeatedly opens
 the WIDTH best unopened vectors found so far, joining their lists.
 """
 
@@ -21,8 +23,9 @@ from .scratch import Scratch, sized, table
 from .vectors import fit_cells, matrix, valid
 
 DEGREE, PROBES, PER_CELL = 16, 10, 256
-SEATS = 4096  # vectors of one task
-ROUNDS, OPENED, WIDTH = 1, 2, 32
+SEATS = 4096  # vectors of one side of a task
+CHANGED = 0.001  # of the entries: fewer new ones end the descent
+OPENED, WIDTH = 2, 32
 
 
 def _seats(shared, probes: int):
@@ -42,15 +45,17 @@ def _seats(shared, probes: int):
     return run
 
 
-def _lists(unit: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the best neighbours of every row among the rows."""
-    n = len(unit)
-    k = min(degree, n - 1)
-    places, scores = np.empty((n, k), np.int64), np.empty((n, k), np.float32)
-    for a in range(0, n, 512):
-        dots = unit[a : a + 512] @ unit.T
-        dots[np.arange(len(dots)), np.arange(a, a + len(dots))] = -2
-        best = np.argpartition(-dots, k - 1, axis=1)[:, :k] if k < n else None
+def _lists(unit: np.ndarray, others: np.ndarray | None, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the best neighbours of every row among the others, or (None) among the rows but itself."""
+    among = unit if others is None else others
+    n = len(among)
+    k = min(degree, n - (others is None))
+    places, scores = np.empty((len(unit), k), np.int64), np.empty((len(unit), k), np.float32)
+    for a in range(0, len(unit), 512):
+        dots = unit[a : a + 512] @ among.T
+        if others is None:
+            dots[np.arange(len(dots)), np.arange(a, a + len(dots))] = -2
+        best = np.argpartition(-dots, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), (len(dots), n))
         places[a : a + 512], scores[a : a + 512] = best, np.take_along_axis(dots, best, 1)
     return places, scores
 
@@ -62,11 +67,18 @@ _EDGE_SCHEMA = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("score", pa
 def _in_cell(degree: int):
     def run(group: pa.Table) -> pa.Table:
         ids, size = group.column("id").to_numpy(), group.column("size")[0].as_py()
+        block, left, right = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
         if len(ids) < 2:
             return _EDGE_SCHEMA.empty_table()
         unit = np.frombuffer(b"".join(group.column("vector").to_pylist()), np.float32).reshape(-1, size)
-        places, scores = _lists(unit, degree)
-        return pa.table([pa.array(np.repeat(ids, places.shape[1])), pa.array(ids[places].reshape(-1)), pa.array(scores.reshape(-1))], schema=_EDGE_SCHEMA)
+        a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        if not len(a) or not len(b):
+            return _EDGE_SCHEMA.empty_table()
+        found = []
+        for x, y in [(a, None)] if left == right else [(a, b), (b, a)]:
+            places, scores = _lists(unit[x], None if y is None else unit[y], degree)
+            found.append((np.repeat(ids[x], places.shape[1]), ids[x if y is None else y][places].reshape(-1), scores.reshape(-1)))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=_EDGE_SCHEMA)
 
     return run
 
@@ -75,17 +87,19 @@ def _best(edges: DataFrame, degree: int, by: str = "src") -> DataFrame:
     """The best edges of every list."""
     other = "dst" if by == "src" else "src"
     order = Window.partitionBy(by).orderBy(F.col("score").desc(), other)
-    once = edges.groupBy("src", "dst").agg(F.max("score").alias("score"))
-    return once.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= degree).select("src", "dst", "score")
+    fresh = [F.min("fresh").alias("fresh")] if "fresh" in edges.columns else []  # an entry that was there is not new
+    once = edges.groupBy("src", "dst").agg(F.max("score").alias("score"), *fresh)
+    return once.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= degree).drop("nth")
 
 
 def _offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (centre, id, least, vector) in runs of one centre in; better edges between its members out."""
+    """Rows (centre, id, fresh, least, vector) in runs of one centre in; better edges between its members, one of them fresh, out."""
     held: list[pa.RecordBatch] = []
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         centre = rows.column("centre").to_numpy()
         ids, least = rows.column("id").to_numpy(), rows.column("least").to_numpy()
+        fresh = rows.column("fresh").to_numpy() > 0
         blobs = rows.column("vector").to_pylist()
         cuts = [0, *(np.flatnonzero(centre[1:] != centre[:-1]) + 1).tolist(), len(centre)] if len(centre) else [0]
         out = [[], [], []]
@@ -95,7 +109,7 @@ def _offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit = np.frombuffer(b"".join(blobs[a:b]), np.float32).reshape(b - a, -1)
             dots = unit @ unit.T
             np.fill_diagonal(dots, -2)
-            i, j = np.nonzero(dots > least[a:b, None])
+            i, j = np.nonzero((dots > least[a:b, None]) & (fresh[a:b, None] | fresh[a:b]))
             out[0].append(ids[a:b][i])
             out[1].append(ids[a:b][j])
             out[2].append(dots[i, j])
@@ -116,7 +130,7 @@ def _offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(pa.Table.from_batches(held))
 
 
-def graph(vectors: DataFrame, scratch: Scratch, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+def graph(vectors: DataFrame, scratch: Scratch, degree: int = DEGREE, changed: float = CHANGED) -> DataFrame:
     """Edges (src, dst, score) of the neighbour graph of (id, size, vector)."""
     spark = vectors.sparkSession
     named = vectors.select("size", F.col("id").alias("name"), "vector")
@@ -124,20 +138,26 @@ def graph(vectors: DataFrame, scratch: Scratch, degree: int = DEGREE, rounds: in
     seats = scratch.keep(vectors.select("id", "size", "vector").mapInArrow(_seats(centres, PROBES), "id long, size int, cell int, vector binary"))
     blocks = seats.groupBy("size", "cell").agg(F.ceil(F.count("*") / SEATS).cast("int").alias("blocks"))
     dealt = seats.join(sized(blocks, 24), ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    edges = scratch.keep(_best(dealt.groupBy("size", "cell", "block").applyInArrow(_in_cell(degree), _EDGES), degree))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    tasks = pairs.select("size", "cell", "i", "j", "id", "block", "vector").groupBy("size", "cell", "i", "j")
+    edges = scratch.keep(_best(tasks.applyInArrow(_in_cell(degree), _EDGES), degree).withColumn("fresh", F.lit(1)))
     short = scratch.keep(seats.groupBy("id").agg(F.first("vector").alias("vector")))
     scratch.drop(seats)
-    for _ in range(rounds):
+    while True:
         least = edges.groupBy("src").agg(F.when(F.count("*") < degree, F.lit(-2.0)).otherwise(F.min("score")).cast("float").alias("least"))
         member = short.join(least, F.col("id") == F.col("src")).select("id", "least", "vector")
-        named_by = _best(edges, degree, "dst").select(F.col("dst").alias("centre"), F.col("src").alias("id"))
-        around = edges.select(F.col("src").alias("centre"), F.col("dst").alias("id")).unionAll(named_by).distinct()
-        met = around.join(member, "id").select("centre", "id", "least", "vector")
+        named_by = _best(edges, degree, "dst").select(F.col("dst").alias("centre"), F.col("src").alias("id"), "fresh")
+        around = edges.select(F.col("src").alias("centre"), F.col("dst").alias("id"), "fresh").unionAll(named_by)
+        around = around.groupBy("centre", "id").agg(F.max("fresh").alias("fresh"))
+        news = around.groupBy("centre").agg(F.max("fresh").alias("news")).where("news > 0").select("centre")
+        met = around.join(news, "centre").join(member, "id").select("centre", "id", "fresh", "least", "vector")
         offers = met.repartition("centre").sortWithinPartitions("centre", "id").mapInArrow(_offer, _EDGES)
-        new = scratch.keep(_best(edges.unionAll(offers), degree))
+        new = scratch.keep(_best(edges.withColumn("fresh", F.lit(0)).unionAll(offers.withColumn("fresh", F.lit(1))), degree))
         scratch.drop(edges)
         edges = new
-    return edges
+        count = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum("fresh"), F.lit(0)).alias("fresh")).first()
+        if count["fresh"] <= changed * count["n"]:
+            return edges.select("src", "dst", "score")
 
 
 def _score(size_at: int):

@@ -178,3 +178,16 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     kept = stages.drop_near_duplicates(spark, docs, "")
     groups = ngram_join.jaccard_join(docs, stages.PERCENT, stages.SHINGLE).select("component_id").distinct().count()
     assert kept.count() == groups and kept.columns == docs.columns
+
+
+def test_search_with_every_cell_split(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SEATS", 40)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    dots = u @ u.T
+    np.fill_diagonal(dots, -2)
+    want = np.argsort(-dots[::20], axis=1)[:, :5]
+    got = ann.nearest(df, 5, F.col("vec_id") % 20 == 0).collect()
+    assert len(got) == 150 and sum(r.vec_id in want[r.query_id // 20] for r in got) >= 147
