@@ -191,3 +191,33 @@ def test_search_with_every_cell_split(spark, monkeypatch):
     want = np.argsort(-dots[::20], axis=1)[:, :5]
     got = ann.nearest(df, 5, F.col("vec_id") % 20 == 0).collect()
     assert len(got) == 150 and sum(r.vec_id in want[r.query_id // 20] for r in got) >= 147
+
+
+def _nearest_pages(rows):
+    """Brute force over (host, path, page_id, lines): the nearest pages of the host with other lines."""
+    out = {}
+    for i, (host, _, page, lines) in enumerate(rows):
+        gone = set()
+        for side in (rows[:i][::-1], rows[i + 1 :]):
+            other = next((r[3] for r in side if r[0] == host and r[3] != lines), None)
+            gone |= html_text.shared(lines, other) if other else set()
+        out[page] = "\n\n".join(t for k, t in enumerate(lines) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_template_of_hosts_with_flat_urls(spark, parts):
+    rng = random.Random(2)
+    rows = [(f"h{i % 3}", f"/slug-{rng.randrange(1000):04d}", i, ["a long line of the template of this host " * 9, f"own {i if i % 4 else 0}", "end"]) for i in range(60)]
+    rows += [("one", "/a", 98, ["x", "y"]), ("hot", "/b", 99, ["t", "u"])] + [("hot", "/c", 100 + i, ["t", "copy"]) for i in range(30)] + [("hot", "/d", 200, ["t", "v"])]
+    pages = [(page, f"http://{host}{path}", "".join(f"<p>{t}</p>" for t in lines)) for host, path, page, lines in rows]
+    rows = sorted((h, p, i, [t.strip() for t in lines]) for h, p, i, lines in rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == _nearest_pages(rows) and got[110] == "copy" and got[98] == "x\n\ny"
