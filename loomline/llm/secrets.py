@@ -27,8 +27,11 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of 16 and more characters of [0-9a-f]+
-#: A sensitive word, then a quoted or assigned string near it.
-CONTEXT = re.compile(r"(?i:pass|pwd|secret|token|auth|bearer|key|credential|private|signature)[^\n]{0,48}?[\s\"'=:,(]([A-Za-z0-9+/_=.~-]{16,512})(?![A-Za-z0-9+/_=.~-])", re.A)
+#: A sensitive word; the strings that begin at most REACH characters after it in its line; what stands behind an = in a string.
+WORD = re.compile(r"(?i:pass|pwd|secret|token|auth|bearer|key|credential|private|signature)", re.A)
+REACH = 48
+STRING = re.compile(r"(?<=[\s\"'=:,(])[A-Za-z0-9+/_=.~-]{16,}", re.A)
+PART = re.compile(r"(?<==)[A-Za-z0-9+/_.~-]{16,}=*", re.A)
 # Literals without which a pattern cannot match, lower-cased.
 OF_ASSIGN = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 OF_CONTEXT = (b"pass", b"pwd", b"secret", b"token", b"auth", b"bearer", b"key", b"credential", b"private", b"signature")
@@ -102,20 +105,46 @@ def base_spans(text: str, search: tuple = (True, True, True, True)) -> list[tupl
     return sorted(out)
 
 
+def _strings(text: str) -> Iterator[tuple[int, int]]:
+    """Every string in the reach of a sensitive word, by start; the parts of a string come after it."""
+    upto, parts = 0, None  # end of the last string; where the search for its parts goes on
+    for m in WORD.finditer(text):
+        line = text.find("\n", m.end(), m.end() + REACH)
+        at, last = m.end() + 1, (m.end() + REACH if line < 0 else line) + 1
+        while at <= last:
+            if at < upto:
+                part = PART.search(text, max(at, parts), min(upto, last + 16))
+                if part and part.start() <= last:
+                    part = PART.match(text, part.start(), upto)
+                    yield part.span()
+                    parts = at = part.end()
+                    continue
+                if upto > last:
+                    break
+                at = upto
+            found = STRING.search(text, at, min(len(text), last + 16))
+            if not found or found.start() > last:
+                break
+            found = STRING.match(text, found.start())
+            yield found.span()
+            upto, at = found.end(), found.start() + 1
+            parts = at
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Spans that only the compressor finds; none overlaps a base span."""
+    """Spans that only the compressor finds; none overlaps another or a base span."""
     out, i, taken = [], 0, sorted((s, e) for s, _, e in base)
-    ends = -1
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        while i < len(taken) and taken[i][0] < b:
+    ends = done = -1
+    for a, b in _strings(text):
+        while i < len(taken) and taken[i][0] <= a:
             ends = max(ends, taken[i][1])
             i += 1
-        word = m[1]
-        if ends > a or not re.search(r"[0-9]", word) or max(map(len, re.split(r"[^A-Za-z0-9+]", word))) < LEAST_PART or _bits(word) < LEAST_BITS:
+        word = text[a:b]
+        if max(ends, done) > a or (i < len(taken) and taken[i][0] < b) or max(map(len, re.split(r"[^A-Za-z0-9+]", word))) < LEAST_PART or _bits(word) < LEAST_BITS:
             continue
         if novelty.marginal(word, text[max(0, a - NEAR) : a] + text[b : b + NEAR]) >= LEAST_RATIO * len(word):
             out.append((a, 3, b))
+            done = b
     return out
 
 

@@ -221,3 +221,21 @@ def test_template_of_hosts_with_flat_urls(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == _nearest_pages(rows) and got[110] == "copy" and got[98] == "x\n\ny"
+
+
+def test_secrets_that_are_long_stand_behind_others_or_have_no_digit(spark):
+    import string as S
+    import time
+
+    rng = random.Random(8)
+    novelty = secrets.Novelty()
+    for before, n, alphabet in [("Authorization: Bearer ", 700, S.ascii_letters + S.digits), ("password for production-database-host: ", 32, S.ascii_letters + S.digits), ("auth: ", 32, S.ascii_letters), ("key url production.database.internal=", 32, S.ascii_letters + S.digits)]:
+        secret = "".join(rng.choice(alphabet) for _ in range(n))
+        text = f"some prose stands before it. {before}{secret} and more text follows.\n"
+        found = [text[a:b] for a, _, b in secrets.novel_spans(text, [], novelty)]
+        assert len(found) == 1 and found[0].endswith(secret)
+        assert secret not in secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    began = time.time()
+    for text in ("key " + "key=" * 100_000, "key=" + "key" * 100_000, "key " * 100_000):
+        secrets.novel_spans(text, [], novelty)
+    assert time.time() - began < 20
