@@ -5,8 +5,8 @@ Hashed n-gram models of the target (labelled good texts) and of three raw texts
 ratios; a document's log weight is the smallest of its ratios, each counted from
 the value that only CLEAN_LOSS of held-out good texts stay below. Documents are
 drawn without replacement by Gumbel top-k: noise made from the id is added to the
-log weight and the k largest keys stay. k is the corpus size times the share of
-the labelled sample with a weight of 0 or more.
+log weight and the k largest keys stay. k is the count of documents of the whole
+corpus with a log weight of 0 or more.
 """
 
 from __future__ import annotations
@@ -155,8 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7, sample: int = SAMPLE,
 
     ``labels`` has (doc_id, quality, toxic). At most ``sample`` labelled rows,
     those with the smallest hash of their id, are used: one half makes the
-    target, low-quality and toxic models, the other half the floors and k. The
-    corpus model counts every document. Without labels everything is kept.
+    target, low-quality and toxic models, the other half the floors. The corpus
+    model and k count every document. Without labels everything is kept.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -188,11 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7, sample: int = SAMPLE,
     if not (kinds == GOOD).any():
         return model
     model.floors = tuple(np.quantile(sums[kinds == GOOD], CLEAN_LOSS, axis=0, method="lower").tolist())
-    share = float(((sums - np.array(model.floors)).min(axis=1) >= 0).mean())
     keys = scratch.keep(_keys(model, docs, id_column, text_column, seed))
-    total = keys.count()
-    if total:
-        model.cut = _kth(keys, max(1, round(share * total)))
+    k = keys.where("log_weight >= 0").count()
+    model.cut = _kth(keys, k) if k else np.inf
     scratch.drop(marked, keys)
     return model
 

@@ -239,3 +239,13 @@ def test_secrets_that_are_long_stand_behind_others_or_have_no_digit(spark):
     for text in ("key " + "key=" * 100_000, "key=" + "key" * 100_000, "key " * 100_000):
         secrets.novel_spans(text, [], novelty)
     assert time.time() - began < 20
+
+
+def test_quality_counts_the_whole_corpus(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    junk = docs.join(labels.where("quality = 0"), "doc_id").select("text").limit(1).crossJoin(spark.range(10**9, 10**9 + 3 * docs.count()))
+    every = docs.unionAll(junk.select(F.col("id").alias("doc_id"), "text"))  # a hot source without labels
+    scored = quality.score(every, quality.fit(every, labels)).agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.sum((F.col("log_weight") >= 0).cast("int")).alias("k"), F.count("*").alias("n")).first()
+    assert scored["n"] == 4 * docs.count() and 0 < scored["k"] < scored["n"]
+    assert scored["k"] <= scored["kept"] <= scored["k"] + 2  # keys that tie with the k-th
