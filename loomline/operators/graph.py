@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,11 +105,11 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return sums.agg(F.coalesce(F.sum("kk"), F.lit(0.0)).alias("kk")).crossJoin(same).select(F.round((F.col("e") - F.col("kk") / (2 * m)) / (2 * m), 8).alias("q"))
 
 
-def girvan_newman(edges: DataFrame, most: int = 10) -> DataFrame:
-    """(node, c) of the best partition by modularity while the edges of highest betweenness are cut, at most ``most`` times."""
+def girvan_newman(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, c) of the best partition by modularity while the edges of highest betweenness are cut until none is left, or at most ``most`` times."""
     nodes = both_ways(edges).select(F.col("src").alias("node")).distinct()
     now, best, top = _cut(edges.select("src", "dst")), None, None
-    for _ in range(most + 1):
+    for _ in count() if most is None else range(most + 1):
         found = components(now) if not now.isEmpty() else nodes.limit(0).select("node", F.col("node").alias("component"))
         part = _cut(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c")))
         q = modularity(edges, part).first()["q"]

@@ -187,7 +187,7 @@ DERIVED = {
     "m03_label_propagation": (lambda s, d: graph.label_propagation(_edges(s, d)), None),
     "m04_shortest_paths": (lambda s, d: graph.shortest_paths(_edges(s, d)), None),
     "m06_betweenness": (lambda s, d: graph.betweenness(_edges(s, d)).orderBy(F.desc("betweenness"), "src", "dst"), None),
-    "m07_girvan_newman": (lambda s, d: graph.girvan_newman(_edges(s, d), 2), None),
+    "m07_girvan_newman": (lambda s, d: graph.girvan_newman(_edges(s, d)), None),
     "m08_modularity": (lambda s, d: graph.modularity(_edges(s, d), graph.both_ways(_edges(s, d)).select(F.col("src").alias("node"), (F.col("src") % 2).alias("c")).distinct()), f"WITH e AS (SELECT * FROM {EDGES}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), k AS (SELECT src AS node, src % 2 AS c, CAST(count(*) AS DOUBLE) AS k FROM u GROUP BY 1), m AS (SELECT count(*) / 2.0 AS m FROM u), kk AS (SELECT sum(x) AS kk FROM (SELECT (sum(k) * sum(k) - sum(k * k)) / 2 AS x FROM k GROUP BY c)), i AS (SELECT count(*) AS e FROM e WHERE src % 2 = dst % 2) SELECT round((i.e - kk.kk / (2 * m.m)) / (2 * m.m), 8) AS q FROM i, kk, m"),
     "m09_components": (lambda s, d: graph.components(_edges(s, d)), f"WITH RECURSIVE u AS (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), r AS (SELECT src AS node, src AS reach FROM u UNION SELECT r.node, u.dst FROM r JOIN u ON r.reach = u.src) SELECT node, min(reach) AS component FROM r GROUP BY 1"),
     "n02_bloom": (lambda s, d: sketches.bloom_false_positives(sketches.numbered(_t(s, d, "orders"), 1000, "o_orderdate", "o_orderkey"), "o_custkey"), None),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.operators import clusters, graph, mining, sequences
-from loomline.plans import registry
+from loomline.plans import derived, registry
 from loomline.plans.dialect import TABLES
 from loomline.sources.store import Store
 from loomline.streaming import sketches
@@ -104,3 +104,12 @@ def test_assign_guards_zero_spread(spark):
     p = spark.createDataFrame([(1, [0.0, 1.0], 0), (2, [2.0, 1.0], 0), (3, [50.0, 1.0], 0)], "id long, v array<double>, c int")
     s = clusters.summaries(p.where("id < 3"), 2)
     assert {r.id: r.c for r in clusters.assign(p.drop("c"), s, 2).collect()} == {1: 0, 2: 0, 3: None}
+
+
+def test_registered_girvan_newman_cuts_until_no_edge_is_left(spark, monkeypatch):
+    path = spark.createDataFrame([(i, i + 1) for i in range(8 - 1)], "src long, dst long")
+    rounds = iter(range(99))
+    monkeypatch.setattr(derived, "_edges", lambda s, d: path)
+    monkeypatch.setattr(graph, "modularity", lambda e, c: spark.createDataFrame([(float(next(rounds)),)], "q double"))  # the last is the best
+    found = next(v for k, v in vars(derived).items() if isinstance(v, dict) and "m07_girvan_newman" in v)["m07_girvan_newman"][0](spark, SF).collect()
+    assert sorted(tuple(r) for r in found) == [(i, i) for i in range(8)]  # two cuts leave pairs
