@@ -5,9 +5,15 @@ cosine >= t are at most r = sqrt(2 - 2t) apart, so for homes i and j the sum of
 their distances to the plane between centroids i and j is at most r, and one of
 them is within r / 2 of it. Each vector is therefore a guest in every cell whose
 plane is within r / 2: every link has both ends in the home cell of one of them,
-and none is lost. Guests are compared with homes only; a link seen from both
-sides counts in the lower cell. Cells larger than a task are cut into blocks and
-every pair of blocks is one task.
+and none is lost. Homes are compared with homes and guests.
+
+Inside a task most pairs fall to a bound in single precision: a fixed rotation
+turns the vectors, HEAD of their coordinates are multiplied, and the rest counts
+by its length (Cauchy-Schwarz), so the bound is never below the cosine. Only rows
+and columns that a pair survives in are multiplied whole, in double precision.
+Hits are counted by row and column sums and joined by propagated labels, so a
+group of near copies costs matrix products and leaves the task as a forest.
+Cells larger than a task are cut into blocks and every pair of blocks is one task.
 """
 
 from __future__ import annotations
@@ -22,8 +28,10 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, components, sized, table
 from .vectors import fit_cells, matrix, valid
 
-BLOCK = 2048  # vectors of one side of a task
-PER_CELL = 512  # vectors that a cell is meant to hold
+BLOCK = 4096  # homes of a task; guests and homes on the other side: twice as many
+PER_CELL = 4096  # vectors that a cell is meant to hold
+HEAD = 28  # coordinates of the bound
+SLACK = 1e-4  # what single precision may lose
 
 
 def _place(shared, radius: float):
@@ -51,50 +59,81 @@ def _place(shared, radius: float):
     return run
 
 
+def heads(unit: np.ndarray) -> np.ndarray:
+    """Rows whose products bound the cosines of the rows of unit from above: the first rotated coordinates and the length of the rest."""
+    size = unit.shape[1]
+    if size <= HEAD + 1:
+        return unit.astype(np.float32)
+    turn = np.linalg.qr(np.random.default_rng(1).standard_normal((size, size)))[0]
+    turned = unit @ turn
+    return np.concatenate([turned[:, :HEAD], np.linalg.norm(turned[:, HEAD:], axis=1, keepdims=True)], axis=1).astype(np.float32)
+
+
+def link_blocks(left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, columns, hits): where rows of left and right have a cosine >= threshold, as blocks of a matrix that are not all False."""
+    out, tops = [], heads(right)
+    for a in range(0, len(left), 512):
+        some = left[a : a + 512]
+        near = heads(some) @ tops.T >= threshold - SLACK
+        rows = np.flatnonzero(near.any(axis=1))
+        columns = np.flatnonzero(near[rows].any(axis=0))
+        if not len(rows):
+            continue
+        hits = some[rows] @ right[columns].T >= threshold
+        rows, hits = rows[keep := hits.any(axis=1)], hits[keep]
+        columns, hits = columns[keep := hits.any(axis=0)], hits[:, keep]
+        out.append((rows + a, columns, hits))
+    return out
+
+
+def lowest(count: int, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of count nodes the smallest node it reaches; blocks: (rows, columns, hits) over nodes."""
+    label = np.arange(count)
+    while True:
+        before = label.copy()
+        for rows, columns, hits in blocks:
+            new = np.minimum(np.where(hits, label[columns], count).min(axis=1), label[rows])
+            np.minimum.at(label, label[rows], new)
+            np.minimum.at(label, rows, new)
+            new = np.minimum(np.where(hits, label[rows][:, None], count).min(axis=0), label[columns])
+            np.minimum.at(label, label[columns], new)
+            np.minimum.at(label, columns, new)
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == before).all():
+            return label
+
+
 def _compare(threshold: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         size, cell = group.column("size")[0].as_py(), group.column("cell")[0].as_py()
-        ids, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
-        home, block = group.column("home").to_numpy(), group.column("block").to_numpy()
-        left, right = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        group = group.take(pa.array(np.argsort(group.column("rep").to_numpy(), kind="stable")))
+        ids, copies, home = (group.column(c).to_numpy() for c in ("rep", "copies", "home"))
         unit = matrix(group.column("vector").to_pylist(), size)
-        guests = group.column("guests").to_pylist()
+        rows, columns = np.flatnonzero(group.column("as_home").to_numpy(zero_copy_only=False)), np.flatnonzero(group.column("as_seat").to_numpy(zero_copy_only=False))
+        if not len(rows) or not len(columns):
+            return schema.empty_table()
+        blocks = [(rows[r], columns[c], h) for r, c, h in link_blocks(unit[rows], unit[columns], threshold)]
         count = np.zeros(len(ids), np.int64)
-        parent = np.arange(len(ids))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        rows = np.flatnonzero(block == left)
-        columns = rows if left == right else np.flatnonzero(block == right)
-        for a in range(0, len(rows), 512):
-            some = rows[a : a + 512]
-            hit = unit[some] @ unit[columns].T >= threshold
-            for x, y in zip(*np.nonzero(hit), strict=True):
-                i, j = int(some[x]), int(columns[y])
-                if left == right and i >= j:
-                    continue
-                hi, hj = int(home[i]), int(home[j])
-                if hi != cell and hj != cell:
-                    continue  # two guests
-                if hi != hj and hi in guests[j] and hj in guests[i] and cell != min(hi, hj):
-                    continue  # counted from the other side
-                count[i] += copies[j]
-                count[j] += copies[i]
-                i, j = find(i), find(j)
-                if i != j:
-                    parent[max(i, j)] = min(i, j)
-        linked = np.flatnonzero(count)
-        low: dict[int, int] = {}
-        roots = [find(int(x)) for x in linked]
-        for x, r in zip(linked, roots, strict=True):
-            low[r] = min(low.get(r, int(ids[x])), int(ids[x]))
-        return pa.table([pa.array(ids[linked], pa.int64()), pa.array([low[r] for r in roots], pa.int64()), pa.array(count[linked], pa.int64())], schema=schema)
+        guests = group.column("guests").to_pylist()
+        for r, c, hits in blocks:
+            hits[r[:, None] == c[None, :]] = False  # a row and itself
+            count[r] += hits @ copies[c]
+            # a guest counts here what it does not see in its own cell
+            away = home[c] != cell
+            if away.any():
+                c = c[away]
+                cells, at = np.unique(home[c], return_inverse=True)
+                place = {x: i for i, x in enumerate(cells.tolist())}
+                seen = np.zeros((len(r), len(cells)), bool)
+                for i, x in enumerate(r.tolist()):
+                    seen[i, [place[g] for g in guests[x] if g in place]] = True
+                count[c] += copies[r] @ (hits[:, away] & ~seen[:, at])
+        label = lowest(len(ids), blocks)
+        linked = np.flatnonzero((count > 0) | (label != np.arange(len(ids))))
+        return pa.table([pa.array(ids[linked], pa.int64()), pa.array(ids[label[linked]], pa.int64()), pa.array(count[linked], pa.int64())], schema=schema)
 
     return run
 
@@ -118,13 +157,19 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_column: str = "
     centres = spark.sparkContext.broadcast(fit_cells(classes, classes.count(), PER_CELL))  # at most 2048 centroids a length
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     placed = scratch.keep(classes.mapInArrow(_place(centres, radius), "rep long, size int, name binary, vector binary, copies long, home int, guests array<int>"))
-    # blocks of a cell: by a hash of the vector, as many as its homes and guests need
-    seats = placed.select("rep", "size", "name", F.explode(F.concat(F.array("home"), "guests")).alias("cell"))
-    cells = seats.groupBy("size", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    dealt = seats.join(sized(cells, 24), ["size", "cell"]).select("name", "cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("name", "cell", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    tasks = dealt.join(placed.drop("cell"), "name").select("size", "cell", "i", "j", "rep", "block", "vector", "copies", "home", "guests")
+    # seats: a home as home and on the other side, a guest on the other side; blocks of a cell by a hash of the vector
+    homes = placed.groupBy("size", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
+    seats = placed.select("size", F.explode(F.concat(F.array("home"), "guests")).alias("cell")).groupBy("size", "cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("columns"))
+    cells = scratch.keep(homes.join(seats, ["size", "cell"]))  # cells without a home have no pair
+    hashed = F.xxhash64("name")
+    seat = placed.withColumn("cell", F.explode(F.concat(F.array("home"), "guests"))).join(sized(cells, 24), ["size", "cell"])
+    seat = seat.withColumns({"i": F.when(F.col("cell") == F.col("home"), F.pmod(hashed, F.col("rows"))).cast("int"), "j": F.pmod(hashed, F.col("columns")).cast("int")})
+    # every row block of a cell meets every column block; the row itself may stand on both sides of a task
+    across = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda x: F.struct(F.col("i").alias("i"), x.alias("j"), F.lit(True).alias("as_home"), (x == F.col("j")).alias("as_seat")))
+    down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda x: F.struct(x.alias("i"), F.col("j").alias("j"), F.lit(False).alias("as_home"), F.lit(True).alias("as_seat")))
+    down = F.filter(down, lambda x: F.col("i").isNull() | (x["i"] != F.col("i")))
+    tasks = seat.withColumn("task", F.explode(F.concat(F.when(F.col("i").isNotNull(), across).otherwise(F.array().cast("array<struct<i:int,j:int,as_home:boolean,as_seat:boolean>>")), down)))
+    tasks = tasks.select("size", "cell", F.col("task.i").alias("i"), F.col("task.j").alias("j"), F.col("task.as_home").alias("as_home"), F.col("task.as_seat").alias("as_seat"), "rep", "vector", "copies", "home", F.when(F.col("task.as_home"), F.col("guests")).otherwise(F.array().cast("array<int>")).alias("guests"))
     found = scratch.keep(tasks.groupBy("size", "cell", "i", "j").applyInArrow(_compare(threshold), "a long, b long, links long"))
     whole = components(found.where("a <> b").select("a", "b"), scratch)
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
