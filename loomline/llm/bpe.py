@@ -15,7 +15,7 @@ import hashlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heappop, heappush
-from itertools import chain, islice
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .scratch import table
 
-CACHED = 300_000  # chunks that a worker remembers between batches
+HELD = 48 << 20  # estimated bytes of chunks that a worker remembers
+PART = 1 << 20  # characters that are cut and merged together; longer texts are cut into parts at a space
 LONG = 256  # bytes; longer pre-tokens have a queue of their own
 
 
@@ -266,8 +267,9 @@ class Codec:
     A single space between two characters that are not white space always starts
     a pre-token (PATTERN has a space only in front of a token or inside a run of
     white space), so texts are cut there into chunks. Chunks get local numbers;
-    only new chunks are split by the pattern, and all new pre-tokens of a batch
-    are merged together. Texts with other spacing are split whole.
+    only new chunks are split by the pattern, and all new pre-tokens of about PART
+    characters are merged together. Texts with other spacing are split whole.
+    What is remembered is bounded in bytes (HELD) and dropped when a task ends.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -275,6 +277,7 @@ class Codec:
         self.table = PairTable(ranks)
         self.split = regex.compile(pattern).findall
         self.mixed = regex.compile(r" \s|\s ").search
+        self.gap = regex.compile(r"\S(?= \S)").search
         size = max(ranks.values(), default=-1) + 1
         by_id = [b""] * size
         for token, i in ranks.items():
@@ -284,65 +287,84 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        chunks: list[str] = []
+        """Drops all chunks; their numbers start anew."""
+        fresh: list[str] = []  # those without ids as yet
+        numbers = count()
 
         class Spaced(dict):
             def __missing__(self, chunk: str) -> int:
-                self[chunk] = number = len(chunks)
-                chunks.append(" " + chunk)
+                self[chunk] = number = next(numbers)
+                fresh.append(" " + chunk)
                 return number
 
         class Plain(dict):
             def __missing__(self, chunk: str) -> int:
-                self[chunk] = number = len(chunks)
-                chunks.append(chunk)
+                self[chunk] = number = next(numbers)
+                fresh.append(chunk)
                 return number
 
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> int:
-                self[piece] = number = len(self)
-                return number
-
-        self.chunks, self.spaced, self.plain, self.pieces = chunks, Spaced(), Plain(), Pieces()
-        self.ids_of, self.of_piece = Ragged([], np.int64), Ragged([], np.int64)
+        self.fresh, self.spaced, self.plain, self.held = fresh, Spaced(), Plain(), 0
+        self.ids_of = Ragged([], np.int32)
 
     def _learn(self) -> None:
         """Ids of the chunks that came since the last call."""
-        known = len(self.pieces)
-        number = self.pieces.__getitem__
-        new = Ragged([array("q", map(number, self.split(c))) for c in islice(self.chunks, len(self.ids_of.count), None)], np.int64)
-        raw = [p.encode() for p in islice(self.pieces, known, None)]
+        if not self.fresh:
+            return
+        pieces: dict[str, int] = {}
+        new = Ragged([array("q", [pieces.setdefault(p, len(pieces)) for p in self.split(c)]) for c in self.fresh], np.int64)
+        raw = [p.encode() for p in pieces]
+        short = merge_all([p if len(p) <= LONG else b"" for p in raw], self.ranks, self.table)
         long = [i for i, p in enumerate(raw) if len(p) > LONG]
-        if raw:
-            base = len(self.of_piece.count)
-            self.of_piece.add(merge_all([p if len(p) <= LONG else b"" for p in raw], self.ranks, self.table))
-            for i in long:  # a long one has a queue of its own
-                ids = self.ranks.get(raw[i])
-                self.of_piece.add(Ragged([merge(raw[i], self.ranks) if ids is None else [ids]], np.int64))
-                self.of_piece.start[base + i], self.of_piece.count[base + i] = self.of_piece.start[-1], self.of_piece.count[-1]
-                self.of_piece.start, self.of_piece.count = self.of_piece.start[:-1], self.of_piece.count[:-1]
-        counts = np.zeros(len(new.count) + 1, np.int64)
-        np.cumsum(new.count, out=counts[1:])
-        sums = np.concatenate([[0], np.cumsum(self.of_piece.count[new.flat])])
-        self.ids_of.add(Ragged.of(self.of_piece.take(new.flat), sums[counts[1:]] - sums[counts[:-1]]))
+        if long:  # each has a queue of its own
+            own = Ragged([[self.ranks[p]] if p in self.ranks else merge(p, self.ranks) for p in (raw[i] for i in long)], np.int64)
+            short.start[long], short.count[long] = own.start + len(short.flat), own.count
+            short.flat = np.concatenate([short.flat, own.flat])
+        sums = np.concatenate([[0], np.cumsum(short.count[new.flat])])
+        to = np.concatenate([[0], np.cumsum(new.count)])
+        self.ids_of.add(Ragged.of(short.take(new.flat).astype(np.int32), sums[to[1:]] - sums[to[:-1]]))
+        self.held += sum(map(len, self.fresh)) + 250 * len(self.fresh)
+        self.fresh.clear()
+
+    def _parts(self, texts: Iterable[str]) -> Iterator[tuple[str, bool]]:
+        """(part, last of its text); a part ends before a space between two characters that are not white space."""
+        for text in texts:
+            at = 0
+            while len(text) - at > PART and (m := self.gap(text, at + PART)):
+                yield text[at : m.start() + 1], False
+                at = m.start() + 1
+            yield (text[at:] if at else text), True
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """Token ids of each text; all texts are cut first, then their new pre-tokens are merged in one queue."""
-        if len(self.chunks) > CACHED:
-            self.forget()
-        rows = []
-        for text in texts:
+        """Token ids of each text; texts of PART characters together are cut first, then their new pre-tokens are merged in one queue."""
+        rows, size, before = [], 0, []
+
+        def settle() -> Iterator[np.ndarray]:
+            self._learn()
+            for row, last in rows:
+                ids = self.ids_of.take(np.frombuffer(row, np.int64) if row else np.zeros(0, np.int64))
+                if last:
+                    yield np.concatenate([*before, ids]) if before else ids
+                    before.clear()
+                else:
+                    before.append(ids)
+            rows.clear()
+            if self.held > HELD:
+                self.forget()
+
+        for text, last in self._parts(texts):
             if self.mixed(text):
-                rows.append(array("q", map(self.plain.__getitem__, self.split(text))))
-                continue
-            head, *rest = text.split(" ")
-            row = array("q", map(self.spaced.__getitem__, rest))
-            if head:
-                row.insert(0, self.plain[head])
-            rows.append(row)
-        self._learn()
-        for row in rows:
-            yield self.ids_of.take(np.frombuffer(row, np.int64) if row else np.zeros(0, np.int64))
+                row = array("q", map(self.plain.__getitem__, self.split(text)))
+            else:
+                head, *rest = text.split(" ")
+                row = array("q", map(self.spaced.__getitem__, rest))
+                if head:
+                    row.insert(0, self.plain[head])
+            rows.append((row, last))
+            size += len(text)
+            if size >= PART:
+                yield from settle()
+                size = 0
+        yield from settle()
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text])).tolist()
@@ -354,22 +376,25 @@ class Codec:
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
-def codec_of(path: str, pattern: str, ranks: dict[bytes, int] | None = None) -> Codec:
-    """One codec for each vocabulary and Python worker."""
+def codec_of(path: str, pattern: str, shared=None) -> Codec:
+    """One codec for each vocabulary and Python worker; ``shared`` is read only if there is none yet."""
     if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(ranks or load_ranks(path), pattern)
+        _CODECS[path, pattern] = Codec(load_ranks(path) if shared is None else shared.value, pattern)
     return _CODECS[path, pattern]
 
 
-def _run(path: str, pattern: str, shared, make: Callable[[Codec, np.ndarray, str], tuple], fields: list[pa.DataType]):
+def _run(path: str, pattern: str, shared, make: Callable[[Codec, np.ndarray, pa.Scalar], tuple], fields: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path, pattern, shared.value)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            encoded = codec.encode_all(x.as_py() or "" for x in texts)
-            rows = [make(codec, ids, text) for ids, text in zip(encoded, texts, strict=True)]
-            new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], *(f"v{i}" for i in range(len(fields)))])
+        codec = codec_of(path, pattern, shared)
+        try:
+            for batch in batches:
+                texts = batch.column(batch.num_columns - 1)
+                encoded = codec.encode_all(x.as_py() or "" for x in texts)
+                rows = [make(codec, ids, text) for ids, text in zip(encoded, texts, strict=True)]
+                new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], *(f"v{i}" for i in range(len(fields)))])
+        finally:
+            codec.forget()  # the next task, perhaps of another operator, gets the memory
 
     return run
 
@@ -406,7 +431,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     source = tokens.select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path, pattern, shared.value)
+        codec = codec_of(path, pattern, shared)
         for batch in batches:
             texts = [codec.decode(x.as_py() or []).decode("utf-8", "replace") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -415,7 +440,10 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to.
+
+    Nulls, empty and very long texts, repeated rows and other columns: as for encode().
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = source.schema[0].dataType.simpleString()
@@ -423,7 +451,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
 
 
 def encode_checked(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids, exact): token ids and whether they decode to the text."""
+    """(doc_id, n_tokens, ids, exact): token ids and whether they decode to the text.
+
+    A null or empty text has no ids and is exact; a null doc_id stays null. Very
+    long texts are encoded part by part, which changes no id; repeated rows
+    repeat, other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = source.schema[0].dataType.simpleString()
