@@ -11,8 +11,8 @@ one of the two has at most e of these, a filled block agrees. Documents with
 more than e empty blocks also emit a sketch under the next seed, and so on,
 until one has at most e: no pair is lost and no bucket is capped.
 
-Equal sets are one class from the start. Classes that agree in a block are
-chained where the Hamming distance of a second sketch of SKETCH_BITS plain bits,
+Equal sets are one class from the start; a task emits the blocks of a class once.
+Classes that agree in a block are chained where the Hamming distance of a second sketch of SKETCH_BITS plain bits,
 again a lower bound, allows a link; connected chains are families of similar
 documents. Families are compared exactly (set sizes and intersections), in
 memory-bounded tasks. A family larger than a task is first sketched again under
@@ -41,6 +41,7 @@ TASK_BYTES = 12 << 20
 BAND = 1.6
 SKETCH_BITS = 2048
 RESEEDS = 1
+SEEN = 200_000  # signatures that a task remembers
 
 
 @lru_cache(maxsize=65536)
@@ -163,7 +164,10 @@ def _near(percent: int):
 
 
 def _profile(size: int, percent: int):
+    """Sets by size and signature; join keys and a sketch for the first document of a signature in a task only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             n, sig, sig2, keys, sketches = [], [], [], [], []
             for values in _sets(batch.column(1), size):
@@ -171,8 +175,12 @@ def _profile(size: int, percent: int):
                 s = _signature(values)
                 sig.append(s[0])
                 sig2.append(s[1])
-                sketches.append(parity(values))
-                keys.append(sketch_keys(values, percent).view(np.int64) if len(values) else np.zeros(0, np.int64))
+                again = not len(values) or s[0] in done
+                if len(done) > SEEN:  # copies that come again later cost rows, no result
+                    done.clear()
+                done.add(s[0])
+                sketches.append(None if again else parity(values))
+                keys.append(np.zeros(0, np.int64) if again else sketch_keys(values, percent).view(np.int64))
             to = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(sig2, pa.int64()), pa.ListArray.from_arrays(pa.array(to), pa.array(flat)), pa.array(sketches, pa.binary())], ["doc_id", "n", "sig", "sig2", "keys", "sketch"])
@@ -252,15 +260,18 @@ def _rekey(percent: int, seed: int):
 
 
 def _chains(rows: DataFrame, bucket: list[str], node: str, sketches: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) between nodes that share a bucket and whose parity sketches are near enough for a link, or that a chain of such pairs connects."""
-    order = Window.partitionBy(*bucket).orderBy(node)
-    shared = rows.withColumn("before", F.lag(node).over(order)).where(F.col("before").isNull() | (F.col("before") != F.col(node)))
-    shared = shared.withColumn("after", F.lead(node).over(order)).where("before is not null or after is not null")
-    key = F.xxhash64(*bucket) if len(bucket) > 1 else F.col(bucket[0])
-    shared = scratch.keep(shared.select(key.alias("key"), F.col(node).alias("node")))
+    """Edges (a, b) between nodes that share a bucket and whose parity sketches are near enough for a link, or that a chain of such pairs connects.
+
+    Buckets that hold the same nodes (near copies agree in many blocks) become
+    one, named by count, least node and XOR of hashes, before sketches are joined.
+    """
+    order, whole = Window.partitionBy(*bucket).orderBy(node), Window.partitionBy(*bucket)
+    once = rows.withColumn("before", F.lag(node).over(order)).where(F.col("before").isNull() | (F.col("before") != F.col(node)))
+    met = once.withColumns({"many": F.count("*").over(whole), "least": F.min(node).over(whole), "mark": F.bit_xor(F.xxhash64(F.col(node))).over(whole)}).where("many > 1")
+    shared = scratch.keep(met.select(F.xxhash64("many", "least", "mark").alias("key"), F.col(node).alias("node")).distinct())
     full = shared.join(sketches, "node").select("key", "node", "n", "sketch")
     near = full.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near(percent), "a long, b long")
-    out = scratch.keep(near.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
+    out = scratch.keep(near.distinct())
     scratch.drop(shared)
     return out
 
@@ -282,8 +293,8 @@ def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: s
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     seen = scratch.keep(source.mapInArrow(_profile(size, percent), "doc_id long, n long, sig long, sig2 long, keys array<long>, sketch binary"))
 
-    blocks = seen.where("n > 0").select("sig", F.explode("keys").alias("key"))
-    sketches = seen.where("n > 0").groupBy(F.col("sig").alias("node")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    blocks = seen.select("sig", F.explode("keys").alias("key"))
+    sketches = seen.where("sketch is not null").groupBy(F.col("sig").alias("node")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     chains = _chains(blocks, ["key"], "sig", sketches, percent, scratch)
     profile = scratch.keep(seen.select("doc_id", "n", "sig", "sig2"))
     scratch.drop(seen)
