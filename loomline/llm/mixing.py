@@ -42,9 +42,9 @@ def _level(total: int, sources: DataFrame, repeats: int) -> Fraction:
         level = new
 
 
-def _hashed(docs: DataFrame, seed: int, id_column: str, text_column: str, source_column: str) -> DataFrame:
-    base = docs.select("*", F.col(source_column).alias("mix_source"), word_count(F.col(text_column)).alias("mix_size"))
-    return base.withColumn("mix_hash", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_column), "mix_source", "mix_size"), 64 - BITS * LEVELS))
+def _hashed(docs: DataFrame, seed: int, id_column: str, text_column: str, source_column: str, *more: Column) -> DataFrame:
+    base = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"), *more)
+    return base.withColumn("hash", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "size"), 64 - BITS * LEVELS))
 
 
 def _copies(repeats: int, hash_column: str) -> Column:
@@ -72,19 +72,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 
 
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 0, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """The mix itself: the rows of the input with all their columns, each as often as mix() takes it."""
+    """The mix itself: the rows of the input with all their columns, each as often as mix() takes it.
+
+    Columns may have any names; the row travels as one struct. Documents without
+    words (null, empty or blank texts) have size 0 and are taken like the others
+    of their source, by their hash; a source without any words is taken 0 times.
+    A null source is a source of its own. Repeated rows share their fate. An
+    empty input gives an empty mix.
+    """
     _, cut = _plan(docs, weights, repeats, seed, id_column, text_column, source_column)
-    rows = _hashed(docs, seed, id_column, text_column, source_column).join(cut, F.col("mix_source").eqNullSafe(F.col("b_source")))
-    rows = rows.withColumn("mix_copies", _copies(repeats, "mix_hash")).where("mix_copies > 0")
-    rows = rows.withColumn("mix_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
-    return rows.select(*docs.columns)
+    whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
+    rows = _hashed(docs, seed, id_column, text_column, source_column, whole).join(cut, F.col("source").eqNullSafe(F.col("b_source")))
+    rows = rows.select("row", _copies(repeats, "hash").alias("copies")).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def _plan(docs: DataFrame, weights: tuple[int, ...], repeats: int, seed: int, id_column: str, text_column: str, source_column: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, size, hash) of all documents, and for each source how often its documents are taken."""
     scratch = Scratch(docs.sparkSession)
-    base = _hashed(docs, seed, id_column, text_column, source_column).select(F.col(id_column).alias("doc_id"), F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), F.col("mix_hash").alias("hash"))
-    base = scratch.keep(base)
+    base = scratch.keep(_hashed(docs, seed, id_column, text_column, source_column))
     sources = base.groupBy("source").agg(F.sum("size").alias("words"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     sources = scratch.keep(sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long")))

@@ -207,11 +207,15 @@ def score(docs: DataFrame, model: Model, seed: int = 7, id_column: str = "doc_id
 
 
 def keep(docs: DataFrame, model: Model, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that score() keeps, with all their columns; nothing is shuffled."""
+    """The rows that score() keeps, with all their columns; nothing is shuffled.
+
+    Null and empty texts have sums of 0, repeated rows share their fate, columns
+    may have any names, an empty input gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    noise = "loomline_noise"
     schema = docs.schema
     at = schema.names.index(text_column)
+    noise = "_" * (1 + max(map(len, schema.names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

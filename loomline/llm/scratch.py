@@ -1,8 +1,9 @@
 """Tables that a job writes on its way, in the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session. Where it is unset (tests
-on one machine) a temporary folder of this machine is taken, and only there.
-A written table cuts lineage: a lost executor costs a re-read, not a re-run.
+The folder is ``spark.checkpoint.dir`` of the session. Where it is unset a
+session on one machine (master local) gets a temporary folder; any other is
+refused. A written table cuts lineage: a lost executor costs a re-read, not a
+re-run. What a run leaves is deleted when the application ends.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="loomline-")
     spark.conf.set("spark.checkpoint.dir", path)
@@ -41,6 +42,13 @@ class Scratch:
         self.spark = spark
         self.base = f"{folder(spark)}/loomline-{uuid.uuid4().hex}"
         self.count = 0
+        path, system = self._at(self.base)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def _at(self, path: str) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.count:04d}"
@@ -54,10 +62,9 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for f in frames:
-            path = jvm.org.apache.hadoop.fs.Path(f._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, system = self._at(f._scratch_path)
+            system.delete(path, True)
 
 
 def sized(df: DataFrame, bytes_per_row: int, rows: int | None = None) -> DataFrame:

@@ -182,7 +182,11 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 
 def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The same rows and columns; every span of the text is replaced by the mark, overlapping spans by one."""
+    """The same rows and columns; every span of the text is replaced by the mark, overlapping spans by one.
+
+    Null and empty texts stay as they are, repeated rows repeat, columns may have
+    any names, an empty input gives an empty result.
+    """
     novelty_mark = mark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
