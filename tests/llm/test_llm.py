@@ -151,7 +151,7 @@ def test_vectors_equal_brute_force(spark, op):
 
 def test_html():
     page = "<html><head><title>t</title></head><body><nav>menu</nav><div class=ad>buy</div><article><h1>A &amp; B</h1><p>one<br>two <b>three</b><p>four<!-- no --><script>var x='</p>'</script><div class='comments'>c</div></article><footer>f</footer>"
-    assert [t for t, inside in html_text.blocks(page) if inside] == ["A & B", "one two three", "four"]
+    assert [t for t, inside, _ in html_text.blocks(page) if inside] == ["A & B", "one two three", "four"]
     assert html_text.shared(list("abcd"), list("xbyd")) == {1, 3}
 
 
