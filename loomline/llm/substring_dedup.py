@@ -339,10 +339,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lists(rows: DataFrame, scratch: Scratch, *columns: str) -> DataFrame:
-    """(doc, lists of columns), for a join to the documents; broadcast if their counted bytes allow it."""
-    out = scratch.keep(rows.groupBy("doc").agg(*(F.collect_list(c).alias(c) for c in columns)))
-    docs, items = out.agg(F.count("*"), F.coalesce(F.sum(F.size(columns[0])), F.lit(0))).first()
-    return sized(out, 1, 128 * docs + 8 * len(columns) * items)
+    """(doc, lists of columns), for a join to the documents; it grows with them, so it is not marked for broadcast."""
+    return scratch.keep(rows.groupBy("doc").agg(*(F.collect_list(c).alias(c) for c in columns)))
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -363,10 +361,10 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_column: str = "doc_id", t
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     doc = F.coalesce("doc_id", F.lit(NULL_ID))
     numbered = source.select(doc.alias("doc"), "text")
-    prefixes = numbered.mapInArrow(_prefixes(size, prefix), "key long, doc long, spot int, times int")
-    shared = scratch.keep(prefixes.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "doc long, spot int, key long"))
+    prefixes = numbered.mapInArrow(W.tidy(_prefixes(size, prefix)), "key long, doc long, spot int, times int")
+    shared = scratch.keep(prefixes.repartition("key").sortWithinPartitions("key").mapInArrow(W.tidy(_repeated), "doc long, spot int, key long"))
     marks = _lists(shared.where("doc is not null").select("doc", "spot"), scratch, "spot")
-    suffixes = numbered.join(marks, "doc").select("doc", "text", "spot").mapInArrow(_suffixes(size, prefix), _ROW_SQL)
+    suffixes = numbered.join(marks, "doc").select("doc", "text", "spot").mapInArrow(W.tidy(_suffixes(size, prefix)), _ROW_SQL)
     big = scratch.keep(shared.where("doc is null").select("key"))
     depth = prefix
     if depth < size and not big.isEmpty():
@@ -375,7 +373,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_column: str = "doc_id", t
             depth = min(depth + STEP, size)
             large = sized(big, 16)
             parts.append(rows.join(large, "key", "left_anti").select(*_ROW.names))
-            rows = scratch.keep(rows.join(large, "key", "left_semi").select(*_ROW.names).where("words is not null").mapInArrow(_extend(size, depth), _ROW_SQL))
+            rows = scratch.keep(rows.join(large, "key", "left_semi").select(*_ROW.names).where("words is not null").mapInArrow(W.tidy(_extend(size, depth)), _ROW_SQL))
             big = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key"))
             if depth == size or big.isEmpty():
                 break
@@ -383,10 +381,10 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_column: str = "doc_id", t
         for part in parts:
             suffixes = suffixes.unionAll(part)
     groups = suffixes.repartition("key").sortWithinPartitions("key", "doc", "spot")
-    runs = _lists(scratch.keep(groups.mapInArrow(_trees(size, prefix), _RUN_SQL)), scratch, "start", "many")
+    runs = _lists(scratch.keep(groups.mapInArrow(W.tidy(_trees(size, prefix)), _RUN_SQL)), scratch, "start", "many")
     cuts = source.join(runs, doc == F.col("doc"), "left").select("doc_id", "text", "start", "many")
-    return cuts.mapInArrow(_cut(size), "doc_id long, n_words long, n_removed long, kept string")
+    return cuts.mapInArrow(W.tidy(_cut(size)), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return remove_repeats(table(spark, sf_dir, "documents")).mapInArrow(W.tidy(_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
