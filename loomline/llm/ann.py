@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, sized, table
 from .vectors import fit_cells, matrix, valid
+from .words import tidy
 
 DEGREE, PROBES, PER_CELL = 16, 10, 256
 SEATS = 4096  # vectors of one side of a task
@@ -135,7 +136,7 @@ def graph(vectors: DataFrame, scratch: Scratch, degree: int = DEGREE, changed: f
     spark = vectors.sparkSession
     named = vectors.select("size", F.col("id").alias("name"), "vector")
     centres = spark.sparkContext.broadcast(fit_cells(named, vectors.count(), PER_CELL))  # at most 2048 centroids a length
-    seats = scratch.keep(vectors.select("id", "size", "vector").mapInArrow(_seats(centres, PROBES), "id long, size int, cell int, vector binary"))
+    seats = scratch.keep(vectors.select("id", "size", "vector").mapInArrow(tidy(_seats(centres, PROBES)), "id long, size int, cell int, vector binary"))
     blocks = seats.groupBy("size", "cell").agg(F.ceil(F.count("*") / SEATS).cast("int").alias("blocks"))
     dealt = seats.join(sized(blocks, 24), ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
@@ -151,7 +152,7 @@ def graph(vectors: DataFrame, scratch: Scratch, degree: int = DEGREE, changed: f
         around = around.groupBy("centre", "id").agg(F.max("fresh").alias("fresh"))
         news = around.groupBy("centre").agg(F.max("fresh").alias("news")).where("news > 0").select("centre")
         met = around.join(news, "centre").join(member, "id").select("centre", "id", "fresh", "least", "vector")
-        offers = met.repartition("centre").sortWithinPartitions("centre", "id").mapInArrow(_offer, _EDGES)
+        offers = met.repartition("centre").sortWithinPartitions("centre", "id").mapInArrow(tidy(_offer), _EDGES)
         new = scratch.keep(_best(edges.withColumn("fresh", F.lit(0)).unionAll(offers.withColumn("fresh", F.lit(1))), degree))
         scratch.drop(edges)
         edges = new
@@ -203,7 +204,7 @@ def nearest(rows: DataFrame, k: int = 5, queries=None, id_column: str = "vec_id"
     def scored(pairs: DataFrame) -> DataFrame:
         mine = vectors.select(F.col("id").alias("query"), F.col("size").alias("length"), F.col("vector").alias("mine"))
         both = pairs.join(vectors, "id").join(mine, "query").where("size = length")
-        return both.select("query", "id", "size", "mine", "vector").mapInArrow(_score(2), "query long, id long, score double")
+        return both.select("query", "id", "size", "mine", "vector").mapInArrow(tidy(_score(2)), "query long, id long, score double")
 
     own = starts.select("query", F.col("query").alias("id"))
     found = scratch.keep(scored(own.unionAll(starts.join(lists, starts["query"] == lists["src"]).select("query", F.col("dst").alias("id"))).distinct()).withColumn("opened", F.col("query") == F.col("id")))

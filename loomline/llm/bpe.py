@@ -23,10 +23,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import bounded, table
+from .words import tidy
 
-HELD = 48 << 20  # estimated bytes of chunks that a worker remembers
-PART = 1 << 20  # characters that are cut and merged together; longer texts are cut into parts at a space
+HELD = 96 << 20  # estimated bytes of chunks that a worker remembers
+PART = 4 << 20  # characters that are cut and merged together; longer texts are cut into parts at a space
 LONG = 256  # bytes; longer pre-tokens have a queue of their own
 
 
@@ -420,9 +421,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     the executors once. A null or empty text has no ids. Every row is encoded by
     itself: repeated rows repeat, other columns are not read.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return source.mapInArrow(_run(path, pattern, shared, _ids, [pa.list_(pa.int32())]), f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>")
+    return source.mapInArrow(tidy(_run(path, pattern, shared, _ids, [pa.list_(pa.int32())])), f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -436,7 +438,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [codec.decode(x.as_py() or []).decode("utf-8", "replace") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, text string")
+    return source.mapInArrow(tidy(run), f"doc_id {source.schema[0].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -444,10 +446,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
 
     Nulls, empty and very long texts, repeated rows and other columns: as for encode().
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(_run(path, pattern, shared, _round_trip, [pa.int64(), pa.string(), pa.string()]), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(tidy(_run(path, pattern, shared, _round_trip, [pa.int64(), pa.string(), pa.string()])), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_checked(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -457,10 +460,11 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, id_column: str = "d
     long texts are encoded part by part, which changes no id; repeated rows
     repeat, other columns are not read.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(_run(path, pattern, shared, _checked, [pa.int64(), pa.list_(pa.int32()), pa.bool_()]), f"doc_id {kind}, n_tokens long, ids array<int>, exact boolean")
+    return source.mapInArrow(tidy(_run(path, pattern, shared, _checked, [pa.int64(), pa.list_(pa.int32()), pa.bool_()])), f"doc_id {kind}, n_tokens long, ids array<int>, exact boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

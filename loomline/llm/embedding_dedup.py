@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, components, sized, table
 from .vectors import fit_cells, matrix, valid
+from .words import tidy
 
 BLOCK = 4096  # homes of a task; guests and homes on the other side: twice as many
 PER_CELL = 4096  # vectors that a cell is meant to hold
@@ -156,7 +157,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_column: str = "
     classes = scratch.keep(every.where("name is not null").groupBy("name").agg(F.min("vec_id").alias("rep"), F.first("size").alias("size"), F.first("vector").alias("vector"), F.count("*").alias("copies")).select("rep", "size", "name", "vector", "copies"))
     centres = spark.sparkContext.broadcast(fit_cells(classes, classes.count(), PER_CELL))  # at most 2048 centroids a length
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    placed = scratch.keep(classes.mapInArrow(_place(centres, radius), "rep long, size int, name binary, vector binary, copies long, home int, guests array<int>"))
+    placed = scratch.keep(classes.mapInArrow(tidy(_place(centres, radius)), "rep long, size int, name binary, vector binary, copies long, home int, guests array<int>"))
     # seats: a home as home and on the other side, a guest on the other side; blocks of a cell by a hash of the vector
     homes = placed.groupBy("size", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
     seats = placed.select("size", F.explode(F.concat(F.array("home"), "guests")).alias("cell")).groupBy("size", "cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("columns"))

@@ -270,7 +270,7 @@ def _chains(rows: DataFrame, bucket: list[str], node: str, sketches: DataFrame,
     met = once.withColumns({"many": F.count("*").over(whole), "least": F.min(node).over(whole), "mark": F.bit_xor(F.xxhash64(F.col(node))).over(whole)}).where("many > 1")
     shared = scratch.keep(met.select(F.xxhash64("many", "least", "mark").alias("key"), F.col(node).alias("node")).distinct())
     full = shared.join(sketches, "node").select("key", "node", "n", "sketch")
-    near = full.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near(percent), "a long, b long")
+    near = full.repartition("key").sortWithinPartitions("key", "node").mapInArrow(W.tidy(_near(percent)), "a long, b long")
     out = scratch.keep(near.distinct())
     scratch.drop(shared)
     return out
@@ -291,7 +291,7 @@ def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: s
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    seen = scratch.keep(source.mapInArrow(_profile(size, percent), "doc_id long, n long, sig long, sig2 long, keys array<long>, sketch binary"))
+    seen = scratch.keep(source.mapInArrow(W.tidy(_profile(size, percent)), "doc_id long, n long, sig long, sig2 long, keys array<long>, sketch binary"))
 
     blocks = seen.select("sig", F.explode("keys").alias("key"))
     sketches = seen.where("sketch is not null").groupBy(F.col("sig").alias("node")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -305,7 +305,7 @@ def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: s
     member = scratch.keep(family.join(classes, "sig").where("rep is not null").select("sig", "family", "rep", "n"))
     wanted = member.select(F.col("rep").alias("doc_id"), "sig")
     texts = source.join(sized(wanted, 16), "doc_id").select("doc_id", "text", "sig")
-    held = scratch.keep(texts.mapInArrow(_fetch(size), "doc_id long, n long, sketch binary, values binary"))
+    held = scratch.keep(texts.mapInArrow(W.tidy(_fetch(size)), "doc_id long, n long, sketch binary, values binary"))
     marks = held.groupBy(F.col("doc_id").alias("node")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     plan = member.select(F.col("rep").alias("doc_id"), "family", (F.col("n") * 8).alias("bytes"))
     for seed in range(1, RESEEDS + 1):
@@ -313,7 +313,7 @@ def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: s
         if large.isEmpty():
             break
         inside = scratch.keep(plan.join(sized(large, 8), "family"))
-        keys = held.join(sized(inside, 24), "doc_id").select("doc_id", "family", "values").mapInArrow(_rekey(percent, seed), "doc_id long, family long, keys array<long>")
+        keys = held.join(sized(inside, 24), "doc_id").select("doc_id", "family", "values").mapInArrow(W.tidy(_rekey(percent, seed)), "doc_id long, family long, keys array<long>")
         rows = keys.select("doc_id", "family", F.explode("keys").alias("key"))
         again = _chains(rows, ["family", "key"], "doc_id", marks, percent, scratch)
         split = components(again, scratch)

@@ -146,7 +146,7 @@ def _keys(model: Model, docs: DataFrame, id_column: str, text_column: str, seed:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.log_weight(batch.column(1)), pa.float64())], ["doc_id", "log_weight"])
 
-    scored = source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, log_weight double")
+    scored = source.mapInArrow(W.tidy(run), f"doc_id {source.schema[0].dataType.simpleString()}, log_weight double")
     return scored.withColumn("key", F.col("log_weight") / TEMPERATURE + gumbel(F.col("doc_id"), seed))
 
 
@@ -167,11 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7, sample: int = SAMPLE,
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     marked = scratch.keep(texts.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("text", "kind", "held"))  # sample rows at most
     counts = np.zeros((6, 1 << BITS))
-    fitted = marked.where(~F.col("held")).select("text", "kind").mapInArrow(_labelled, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    fitted = marked.where(~F.col("held")).select("text", "kind").mapInArrow(W.tidy(_labelled), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     found = fitted.toArrow()
     counts.reshape(-1)[found.column("key").to_numpy()] = found.column("n").to_numpy()
     corpus = np.zeros(1 << BITS)
-    for row in texts.select("text").mapInArrow(_corpus, "block long, counts binary").repartition("block").mapInArrow(_add, "block long, counts binary").collect():
+    for row in texts.select("text").mapInArrow(W.tidy(_corpus), "block long, counts binary").repartition("block").mapInArrow(W.tidy(_add), "block long, counts binary").collect():
         corpus[row["block"] << BLOCK : (row["block"] + 1) << BLOCK] = np.frombuffer(row["counts"], np.int64)
     good = counts[GOOD * 2]
     model = Model(_ratios(good, corpus, 1, 3, True), _ratios(good, counts[TOXIC * 2], 1, 3, True), _ratios(counts[GOOD * 2 + 1], counts[JUNK * 2 + 1], 8, 0.7, False))
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7, sample: int = SAMPLE,
             sums = shared.value.sums(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(sums[:, i], pa.float64()) for i in range(3))], ["kind", "a", "b", "c"])
 
-    held = marked.where("held").select("text", "kind").mapInArrow(calibrate, "kind long, a double, b double, c double").toArrow()
+    held = marked.where("held").select("text", "kind").mapInArrow(W.tidy(calibrate), "kind long, a double, b double, c double").toArrow()
     sums = np.stack([held.column(c).to_numpy() for c in ("a", "b", "c")], 1)
     kinds = held.column("kind").to_numpy()
     if not (kinds == GOOD).any():
@@ -224,7 +224,7 @@ def keep(docs: DataFrame, model: Model, seed: int = 7, id_column: str = "doc_id"
             stay = pa.array(np.floor(key * SCALE + 0.5) >= m.cut * SCALE)
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(stay)
 
-    return docs.withColumn(noise, gumbel(F.col(id_column), seed)).mapInArrow(run, schema)
+    return docs.withColumn(noise, gumbel(F.col(id_column), seed)).mapInArrow(W.tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20  # of an Arrow batch, which Python workers and the JVM hold several times over
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,11 +36,19 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches in bytes (by rows alone, texts of any length make them large); a session that sets a bound keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b")) > 64 << 20:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """The tables of one run; each is written once and read from then on."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded(spark)
         self.base = f"{folder(spark)}/loomline-{uuid.uuid4().hex}"
         self.count = 0
         path, system = self._at(self.base)

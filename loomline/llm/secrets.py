@@ -20,8 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import table
-from .words import pieces
+from .scratch import bounded, table
+from .words import pieces, tidy
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -177,8 +177,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     different kinds are all kept. Null and empty texts have no spans. Rows are
     scanned one by one: repeated rows repeat, other columns are not read.
     """
+    bounded(docs.sparkSession)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return source.mapInArrow(_scan, f"doc_id {source.schema[0].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return source.mapInArrow(tidy(_scan), f"doc_id {source.schema[0].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -187,7 +188,7 @@ def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]") -
     Null and empty texts stay as they are, repeated rows repeat, columns may have
     any names, an empty input gives an empty result.
     """
-    novelty_mark = mark
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
@@ -201,13 +202,13 @@ def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]") -
                     parts, done = [], 0
                     for a, _, b in sorted(base + novel_spans(text, base, novelty)):
                         if a >= done:
-                            parts += [text[done:a], novelty_mark]
+                            parts += [text[done:a], mark]
                         done = max(done, b)
                     text = "".join([*parts, text[done:]])
                 texts.append(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import tidy
+
 SAMPLE = 16_384  # vectors that centroids are fitted on, those with the smallest hashes
 
 
@@ -31,7 +33,7 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def valid(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(vec_id, size, name, vector): vectors as bytes of doubles; null, zero and non-finite ones have none. name: equal for equal vectors."""
     source = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
-    return source.mapInArrow(_valid, "vec_id long, size int, name binary, vector binary")
+    return source.mapInArrow(tidy(_valid), "vec_id long, size int, name binary, vector binary")
 
 
 def matrix(column, size: int) -> np.ndarray:
