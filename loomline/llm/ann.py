@@ -6,8 +6,9 @@ blocks and every pair of blocks is one task. A round of NN-descent brings the
 neighbours of a vector (its own and those that name it) together by a join; each
 of these is offered to the others unless both were there the round before, and
 whoever is better than a list's last entry enters it. Rounds end when at most
-CHANGED of the entries are new. A search starts at the query's own list and repeatedly opens
-the WIDTH best unopened vectors found so far, joining their lists.
+CHANGED of the entries are new. A search starts at the query's own list and opens
+the WIDTH best vectors found so far by joining their lists, until all of them
+have been opened.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .words import tidy
 DEGREE, PROBES, PER_CELL = 16, 10, 256
 SEATS = 4096  # vectors of one side of a task
 CHANGED = 0.001  # of the entries: fewer new ones end the descent
-OPENED, WIDTH = 2, 32
+WIDTH = 32  # of the search: it ends when the WIDTH best found are all opened
 
 
 def _seats(shared, probes: int):
@@ -208,15 +209,18 @@ def nearest(rows: DataFrame, k: int = 5, queries=None, id_column: str = "vec_id"
 
     own = starts.select("query", F.col("query").alias("id"))
     found = scratch.keep(scored(own.unionAll(starts.join(lists, starts["query"] == lists["src"]).select("query", F.col("dst").alias("id"))).distinct()).withColumn("opened", F.col("query") == F.col("id")))
-    for _ in range(OPENED):
-        by_score = Window.partitionBy("query").orderBy("opened", F.col("score").desc(), "id")
+    while True:
+        by_score = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
         ranked = found.withColumn("nth", F.row_number().over(by_score))
         front = scratch.keep(ranked.withColumn("opens", ~F.col("opened") & (F.col("nth") <= WIDTH)))
+        scratch.drop(found)
+        if front.where("opens").isEmpty():
+            found = front
+            break
         pairs = front.where("opens").join(lists, F.col("id") == F.col("src")).select("query", F.col("dst").alias("id")).distinct()
         fresh = scored(pairs.join(front.select("query", "id"), ["query", "id"], "left_anti")).withColumn("opened", F.lit(False))
-        new = scratch.keep(front.select("query", "id", "score", (F.col("opened") | F.col("opens")).alias("opened")).unionAll(fresh))
-        scratch.drop(found, front)
-        found = new
+        found = scratch.keep(front.select("query", "id", "score", (F.col("opened") | F.col("opens")).alias("opened")).unionAll(fresh))
+        scratch.drop(front)
     by_nearness = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     close = found.withColumn("nth", F.row_number().over(by_nearness)).where((F.col("nth") <= k + 1) | (F.col("query") == F.col("id"))).select("query", "id", "score")
     answers = asked.join(close, "query").join(members, "id").where("vec_id <> query_id")

@@ -59,3 +59,32 @@ def test_the_bound_is_never_below_the_cosine():
     points = _vectors(5, 300)
     top = embedding_dedup.heads(points)
     assert (top @ top.T >= points @ points.T - embedding_dedup.SLACK).all()
+
+
+def _brute_nearest(points, queries, k):
+    dots = points @ points.T
+    return {q: sorted(((-dots[q, j], j) for j in range(len(points)) if j != q))[:k] for q in queries}
+
+
+@pytest.mark.parametrize("per_cell", [10_000, 20])
+def test_nearest_equals_brute_force(spark, monkeypatch, per_cell):
+    monkeypatch.setattr(ann, "PER_CELL", per_cell)
+    points = _vectors(7, 600, 16)
+    rows = _frame(spark, points, [(i, None if v is None else (v * 8)[:16] if len(v) > 2 else v, c) for i, v, c in EDGES]).withColumn("size", F.lit("clash"))
+    got = ann.nearest(rows, 5, F.col("vec_id") % 10 == 0).collect()
+    want = _brute_nearest(points, range(0, 600, 10), 5)
+    found = {(r.query_id, r.vec_id) for r in got if r.query_id < 10_000}
+    # an entry counts if its score reaches the fifth best: equal vectors tie
+    scores = points @ points.T
+    assert sum(scores[q, v] >= -want[q][4][0] - 1e-12 for q, v in found) >= 0.98 * 300
+    assert all(abs(r.score - scores[r.query_id, r.vec_id]) < 1e-12 for r in got if r.query_id < 10_000)
+    for q in want:
+        mine = sorted((r.rank, -r.score, r.vec_id) for r in got if r.query_id == q)
+        assert [r[0] for r in mine] == [1, 2, 3, 4, 5] and [(round(s, 12), v) for _, s, v in mine] == sorted((round(s, 12), v) for _, s, v in mine)
+
+
+def test_nearest_of_few_equal_and_no_rows(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (5, None), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(rows, 5).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2, 1.0), (1, 2, 3, 1.0), (1, 3, 4, 0.0), (2, 1, 1, 1.0), (2, 2, 3, 1.0), (2, 3, 4, 0.0), (3, 1, 1, 1.0), (3, 2, 2, 1.0), (3, 3, 4, 0.0), (4, 1, 1, 0.0), (4, 2, 2, 0.0), (4, 3, 3, 0.0)]
+    assert ann.nearest(rows.limit(0), 5).count() == 0 and ann.nearest(rows.where("vec_id = 1"), 5).count() == 0
