@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .scratch import bounded, table
 from .words import tidy
 
-HELD = 96 << 20  # estimated bytes of chunks that a worker remembers
-PART = 4 << 20  # characters that are cut and merged together; longer texts are cut into parts at a space
+HELD = 64 << 20  # estimated bytes of chunks that a worker remembers
+PART = 2 << 20  # characters that are cut and merged together; longer texts are cut into parts at a space
 LONG = 256  # bytes; longer pre-tokens have a queue of their own
 
 

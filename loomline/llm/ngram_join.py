@@ -17,8 +17,9 @@ again a lower bound, allows a link; connected chains are families of similar
 documents. Families are compared exactly (set sizes and intersections), in
 memory-bounded tasks. A family larger than a task is first sketched again under
 other seeds, which separates documents that were chained by a shared passage
-only; what is still too large is split into chunks and every pair of chunks is
-one task. Inside a task a class that has been reached is
+only; what is still too large is split into chunks. Chunks are compared with a few
+members first; only members that those don't join to the largest component are
+compared with all chunks. Inside a task a class that has been reached is
 compared no further, so a family of copies costs about one pass, and only a
 spanning forest leaves the task.
 """
@@ -41,6 +42,7 @@ TASK_BYTES = 12 << 20
 BAND = 1.6
 SKETCH_BITS = 2048
 RESEEDS = 1
+PIVOTS = 4  # members that all chunks of a large family are compared with first
 SEEN = 200_000  # signatures that a task remembers
 
 
@@ -276,6 +278,45 @@ def _chains(rows: DataFrame, bucket: list[str], node: str, sketches: DataFrame,
     return out
 
 
+def _chunks(many: str, size: str):
+    """Tasks that so many sets of so many bytes are dealt to."""
+    return F.greatest(F.lit(1), F.ceil(F.col(many) / TASK_CLASSES), F.ceil(F.col(size) / TASK_BYTES)).cast("int")
+
+
+def _linked(plan: DataFrame, held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that join the linked members of each family; plan: (doc_id, family, bytes), held: (doc_id, values).
+
+    A family larger than a task is cut into chunks. Every chunk is compared in
+    itself and with PIVOTS members of the family, which joins copies into one
+    component, the core. Only the members outside the core are then compared with
+    all chunks: two members of the core need no further comparison.
+    """
+    sizes = plan.groupBy("family").agg(F.count("*").alias("many"), F.sum("bytes").alias("all")).where("many > 1")
+    placed = plan.join(sizes.select("family", _chunks("many", "all").alias("chunks")), "family")
+    placed = scratch.keep(placed.select("doc_id", "family", "bytes", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("part")))
+
+    def compare(dealt: DataFrame) -> DataFrame:
+        dealt = scratch.keep(dealt.distinct())
+        tasks = held.join(sized(dealt, 32), "doc_id").select("family", "i", "j", "doc_id", "values")
+        return scratch.keep(tasks.groupBy("family", "i", "j").applyInArrow(_compare(percent), "a long, b long"))
+
+    cut = placed.where("chunks > 1")
+    pivots = cut.groupBy("family", "chunks").agg(F.array(*(F.min_by("doc_id", F.xxhash64(F.lit(seed), "doc_id")) for seed in range(PIVOTS))).alias("ids"))
+    pivots = pivots.select(F.explode("ids").alias("doc_id"), "family", "chunks").select("doc_id", "family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(0).alias("j"))
+    edges = compare(placed.select("doc_id", "family", F.col("part").alias("i"), F.lit(0).alias("j")).unionAll(pivots))
+    if cut.isEmpty():
+        return edges
+    whole = components(edges.where("a <> b"), scratch)
+    rooted = scratch.keep(cut.join(whole, cut["doc_id"] == whole["node"], "left").select("doc_id", "family", "bytes", "chunks", "part", F.coalesce("root", "doc_id").alias("root")))
+    core = rooted.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("core"))
+    rest = scratch.keep(rooted.join(core, "family").where("root <> core").select("doc_id", "family", "bytes", "chunks"))
+    many = rest.groupBy("family").agg(F.count("*").alias("many"), F.sum("bytes").alias("all")).select("family", _chunks("many", "all").alias("sides"))
+    side = F.pmod(F.xxhash64(F.lit(PIVOTS), "doc_id"), F.col("sides")).cast("int")
+    of_rest = rest.join(many, "family").select("doc_id", "family", side.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    of_all = rooted.join(many, "family").select("doc_id", "family", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("i"), F.col("part").alias("j"))
+    return edges.unionAll(compare(of_rest.unionAll(of_all)))
+
+
 def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Documents linked by the Jaccard similarity of their word shingles.
 
@@ -319,12 +360,7 @@ def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: s
         split = components(again, scratch)
         inner = inside.join(split, inside.doc_id == split.node).select("doc_id", F.xxhash64("family", "root").alias("family"), "bytes")
         plan = scratch.keep(plan.join(sized(large, 8), "family", "left_anti").select("doc_id", "family", "bytes").unionByName(inner))
-    sizes = plan.groupBy("family").agg(F.count("*").alias("many"), F.sum("bytes").alias("bytes")).where("many > 1")
-    chunks = sizes.select("family", F.greatest(F.lit(1), F.ceil(F.col("many") / TASK_CLASSES), F.ceil(F.col("bytes") / TASK_BYTES)).cast("int").alias("chunks"))
-    part = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    dealt = scratch.keep(plan.join(chunks, "family").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("doc_id", "family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
-    tasks = held.join(sized(dealt, 32), "doc_id").select("family", "i", "j", "doc_id", "values")
-    edges = scratch.keep(tasks.groupBy("family", "i", "j").applyInArrow(_compare(percent), "a long, b long"))
+    edges = _linked(plan, held, percent, scratch)
     whole = components(edges.where("a <> b"), scratch).select(F.col("node").alias("rep"), F.col("root").alias("low"))
 
     # classes with more than one document or a link; the others are their own component

@@ -36,10 +36,15 @@ def _sets(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("task", [1200, 2])
+@pytest.mark.parametrize("task", [1200, 10, 2])
 def test_jaccard_join_equals_brute_force(spark, task, monkeypatch):
     monkeypatch.setattr(ngram_join, "TASK_CLASSES", task)
-    docs, rows = _docs(spark)
+    docs, rows = _docs(spark, 160 if task == 10 else 60)
+    if task == 10:  # one group of near copies, larger than a task, and a chain
+        hot = [f"h{k}" for k in range(60)]
+        rows += [(1000 + i, " ".join([*hot[: 58 - i % 3], f"own{i % 20}"]), "s1") for i in range(40)]
+        rows += [(2000 + i, " ".join(f"c{k}" for k in range(4 * i, 4 * i + 90)), "s2") for i in range(30)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     ids, sets = [r[0] for r in rows], [_sets(r[1], 4) for r in rows]
     root = {i: i for i in ids}
 
