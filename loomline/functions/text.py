@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Contractions and their long forms.
@@ -74,3 +74,24 @@ def label_score(a: Column, b: Column) -> Column:
 def trailing_zeros(h: Column) -> Column:
     """Of a hash; 0 for 0."""
     return F.when(h == 0, 0).otherwise(F.bit_count(h.bitwiseAND(-h) - 1))
+
+
+def by_prefix(df: DataFrame, baseline: list[str], prefixes: list[str]) -> DataFrame:
+    """The baseline columns and those whose names begin with a prefix, in order."""
+    return df.select(*baseline, *[c for c in df.columns if c not in baseline and c.startswith(tuple(prefixes))])
+
+
+def parse_dict(text: Column, schema: str) -> Column:
+    """A string that looks like a Python dict, as a struct; null if it doesn't."""
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\bTrue\b", "true"), r"\bFalse\b", "false"), r"\bNone\b", "null")
+    return F.when(F.trim(text).startswith("{"), F.from_json(body, schema, {"allowSingleQuotes": "true"}))
+
+
+def flatten(df: DataFrame) -> DataFrame:
+    """Structs of any depth as columns, their keys joined by _."""
+    def leaves(kind, path, name):
+        if kind.typeName() != "struct":
+            return [path.alias(name)]
+        return [x for f in kind.fields for x in leaves(f.dataType, path.getField(f.name), f"{name}_{f.name}")]
+
+    return df.select(*[x for f in df.schema.fields for x in leaves(f.dataType, F.col(f"`{f.name}`"), f.name)])

@@ -9,15 +9,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame, written to the checkpoint folder of the session; on one machine (master local) a temporary one if there is none."""
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+    if sc.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-"))
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomline-"))
     return df.checkpoint()
 
 
+_cut = checkpointed
+
+
 def cooccurrence_edges(rows: DataFrame, node: str, item: str, least: int) -> DataFrame:
     """(src, dst), src < dst, of nodes that share at least ``least`` items."""
     one = rows.select(F.col(node).alias("n"), F.col(item).alias("i")).distinct()

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
+from itertools import combinations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,28 +101,136 @@ def user_predictions(ratings: DataFrame, asked: DataFrame, neighbours: int = 30)
     return asked.join(averages, "user", "left").join(moved, ["user", "item"], "left").select("user", "item", (F.col("ua") + F.coalesce("d", F.lit(0.0))).alias("prediction"))
 
 
-METRICS = {
-    "euclidean": lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)),
-    "manhattan": lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x),
-    "chebyshev": lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y))),
-}
+def _power(p: float):
+    return lambda gap: (np.abs(gap) ** p).sum(axis=-1)
 
 
-def minkowski(p: float):
-    return lambda a, b: F.pow(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(F.abs(x - y), p)), F.lit(0.0), lambda s, x: s + x), 1 / p)
+# Distances of arrays of differences; a monotone form is enough where only the order counts.
+METRICS = {"euclidean": lambda gap: np.sqrt((gap * gap).sum(axis=-1)), "manhattan": _power(1), "chebyshev": lambda gap: np.abs(gap).max(axis=-1)}
 
 
-def knn(train: DataFrame, test: DataFrame, k: int, metric: str | None = "euclidean", vote: str = "uniform", distance=None) -> DataFrame:
-    """(id, prediction) for test rows (id, v) from train rows (id, v, label): majority or inverse-distance vote; ties to the smaller label. The train side is a stated, small table."""
-    measure = distance or METRICS[metric]
-    pairs = test.select("id", "v").crossJoin(train.select(F.col("id").alias("t"), F.col("v").alias("w"), "label")).select("id", "t", "label", measure(F.col("v"), F.col("w")).alias("d"))
-    near = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("d", "t"))).where(F.col("nth") <= k)
+def minkowski(p: float):
+    """The p-th power of the Minkowski distance."""
+    return _power(p)
+
+
+_NEAR = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("d", pa.float64())])
+ROWS = 4096  # of one side of a task
+
+
+def nearest_rows(train: DataFrame, test: DataFrame, k: int, measure=METRICS["euclidean"]) -> DataFrame:
+    """(id, other, d, nth): the k nearest rows (id, v) of train for every row of test, ties to the smaller id.
+
+    Both sides are dealt into blocks of about ROWS; a pair of blocks is one task,
+    which keeps the k best of each of its test rows, so no pair leaves a task
+    that cannot be among the nearest.
+    """
+    left, right = (max(1, -(-side.count() // ROWS)) for side in (test, train))
+    at = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = test.select("id", "v", at(left).alias("i"), every(right).alias("j"), F.lit(True).alias("asks"))
+    b = train.select("id", "v", at(right).alias("j"), every(left).alias("i"), F.lit(False).alias("asks")).select("id", "v", "i", "j", "asks")
+
+    def best(group: pa.Table) -> pa.Table:
+        asks, ids = group.column("asks").to_numpy(zero_copy_only=False), group.column("id").to_numpy()
+        v = np.array(group.column("v").to_pylist(), np.float64)
+        order = np.flatnonzero(~asks)
+        order = order[np.argsort(ids[order], kind="stable")]
+        out = []
+        for x in np.flatnonzero(asks) if len(order) else ():
+            d = measure(v[order] - v[x])
+            top = np.argsort(d, kind="stable")[:k]
+            out.append((np.full(len(top), ids[x]), ids[order[top]], d[top]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_NEAR) if out else _NEAR.empty_table()
+
+    found = a.unionAll(b).groupBy("i", "j").applyInArrow(best, "id long, other long, d double")
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("nth") <= k)
+
+
+def knn(train: DataFrame, test: DataFrame, k: int, metric="euclidean", vote: str = "uniform") -> DataFrame:
+    """(id, prediction) for test rows (id, v) from train rows (id, v, label): majority or inverse-distance vote; ties to the smaller label. ``metric``: a name of METRICS or a function of differences."""
+    near = nearest_rows(train, test, k, METRICS[metric] if isinstance(metric, str) else metric)
     weight: Column = F.count("*").cast("double") if vote == "uniform" else F.sum(1 / F.greatest("d", F.lit(1e-12)))
-    votes = near.groupBy("id", "label").agg(weight.alias("w"))
+    votes = near.join(train.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(weight.alias("w"))
     return votes.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.col("w").desc(), "label"))).where("nth = 1").select("id", F.col("label").alias("prediction"))
 
 
 def knn_regression(train: DataFrame, test: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
-    pairs = test.select("id", "v").crossJoin(train.select(F.col("id").alias("t"), F.col("v").alias("w"), "label")).select("id", "t", "label", METRICS[metric](F.col("v"), F.col("w")).alias("d"))
-    near = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("d", "t"))).where(F.col("nth") <= k)
-    return near.groupBy("id").agg(F.avg("label").alias("prediction"))
+    near = nearest_rows(train, test, k, METRICS[metric])
+    return near.join(train.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.avg("label").alias("prediction"))
+
+
+def whitened(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides in the coordinates in which the Euclidean distance is the Mahalanobis distance of the train side."""
+
+    def sums(batches):
+        total = None
+        for batch in batches:
+            v = np.array(batch.column(0).to_pylist(), np.float64)
+            if len(v):
+                one = np.hstack([np.ones((len(v), 1)), v])
+                total = one.T @ one if total is None else total + one.T @ one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["at", "x"])
+
+    z = train.select("v").mapInArrow(sums, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").toArrow().column("x").to_numpy()  # (dims + 1)**2 numbers
+    z = z.reshape(int(len(z) ** 0.5), -1)
+    mean = z[0, 1:] / z[0, 0]
+    root = np.linalg.cholesky(np.linalg.pinv(z[1:, 1:] / z[0, 0] - np.outer(mean, mean)))
+
+    def turn(batches):
+        for batch in batches:
+            v = np.array(batch.column("v").to_pylist(), np.float64).reshape(len(batch), -1) @ root
+            yield batch.set_column(batch.schema.get_field_index("v"), "v", pa.array(list(v), pa.list_(pa.float64())))
+
+    return tuple(side.mapInArrow(turn, side.schema) for side in (train, test))
+
+
+def candidates(frequent: DataFrame) -> DataFrame:
+    """(items) one longer than the frequent sets (items, sorted): two that differ in the last item are joined, and all subsets must be frequent."""
+    head = F.slice("items", 1, F.size("items") - 1)
+    a = frequent.select(head.alias("head"), F.element_at("items", -1).alias("x"))
+    joined = a.join(a.withColumnRenamed("x", "y"), "head").where("x < y").select(F.concat("head", F.array("x", "y")).alias("items"))
+    left_out = F.transform(F.sequence(F.lit(0), F.size("items") - 1), lambda i: F.filter("items", lambda x, j: j != i))
+    subsets = joined.select("items", F.explode(left_out).alias("subset"))
+    missing = subsets.join(frequent.select(F.col("items").alias("subset")), "subset", "left_anti").select("items").distinct()
+    return joined.join(missing, "items", "left_anti")
+
+
+def _local_sets(baskets: list[list], threshold: int, size: int) -> list[tuple]:
+    """Frequent sets of the baskets of one chunk, level by level."""
+    counts = Counter(i for b in baskets for i in b)
+    level = {(i,) for i, n in counts.items() if n >= threshold}
+    single, out = {i for (i,) in level}, sorted(level)
+    kept = [[i for i in b if i in single] for b in baskets]
+    for k in range(2, size + 1):
+        counts = Counter(c for b in kept for c in combinations(b, k) if all(s in level for s in combinations(c, k - 1)))
+        level = {c for c, n in counts.items() if n >= threshold}
+        out += sorted(level)
+    return out
+
+
+def son(rows: DataFrame, key: str, item: str, support: int, size: int, chunks: int = 4) -> DataFrame:
+    """(items, n) of all frequent itemsets by the two phases of SON.
+
+    Baskets are dealt into chunks; the sets that reach ceil(support * part / all)
+    in one of them are candidates, which are then counted exactly. ``chunks`` is
+    chosen so that a chunk fits a task.
+    """
+    one = rows.select(F.col(key).alias("k"), F.col(item).cast("long").alias("i")).distinct()
+    baskets = one.groupBy("k").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    total = baskets.count()
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _local_sets([list(x) for x in pdf["items"]], math.ceil(support * len(pdf) / total), size)
+        return pd.DataFrame({"items": [list(x) for x in found]})
+
+    part = F.pmod(F.xxhash64("k"), F.lit(chunks))
+    wanted = baskets.groupBy(part).applyInPandas(first, "items array<long>").distinct()
+    level, out = one.select("k", F.array("i").alias("items")), None
+    for _ in range(size):
+        level = level.join(wanted, "items", "left_semi")
+        counts = level.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+        out = counts if out is None else out.unionAll(counts)
+        level = level.join(one, "k").where(F.col("i") > F.element_at("items", -1)).select("k", F.concat("items", F.array("i")).alias("items"))
+    return out

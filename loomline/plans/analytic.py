@@ -21,7 +21,6 @@ SHARED = {
     "e27_bounding_box": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_extendedprice BETWEEN 10000 AND 30000",
     "e32_odds": "SELECT s_suppkey, round(CASE WHEN exp(x) <= 1 THEN -1 / exp(x) ELSE exp(x) END, 8) AS odds FROM (SELECT s_suppkey, s_acctbal / 10000 AS x FROM supplier) t",
     "e33_rate": "SELECT c_nationkey, round(count(*) * 1e5 / (SELECT count(*) FROM customer), 6) AS rate FROM customer GROUP BY c_nationkey",
-    "e34_prefix_columns": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem WHERE l_linenumber = 1",
     "e35_line_margin": "SELECT s_suppkey, round(abs(0.6 * s_suppkey + 0.8 * s_acctbal / 100 - 40), 6) AS distance FROM supplier WHERE abs(0.6 * s_suppkey + 0.8 * s_acctbal / 100 - 40) <= 20",
     "g01_basic": "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS low, max(o_totalprice) AS high, round(avg(o_totalprice), 6) AS mean FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey",
     "g02_nunique": "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_suppkey",
@@ -42,9 +41,7 @@ SHARED = {
     "g19_value_counts": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
     "g20_histogram": "SELECT CAST(least(floor((value - lo) / ((hi - lo) / 10)), 9) AS BIGINT) AS bin, count(*) AS n FROM events CROSS JOIN (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE value IS NOT NULL) r WHERE value IS NOT NULL GROUP BY 1",
     "g21_argmax_column": "SELECT l_orderkey, l_linenumber, CASE WHEN greatest(l_discount, l_tax) = l_discount THEN 'l_discount' ELSE 'l_tax' END AS top FROM lineitem",
-    "g22_threshold_flag": "SELECT user_id, n, CASE WHEN n > 1.2 * avg(n) OVER () THEN 1 ELSE 0 END AS hot FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) t",
     "g23_quantile_cut": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < (SELECT percentile(o_totalprice, 0.95) FROM orders)",
-    "g26_rmse": f"SELECT round(sqrt(avg(pow(stars - 3, 2))), 8) AS rmse, round(avg(pow(stars - 3, 2)), 8) AS mse FROM {REVIEWS} r",
     "g27_confusion": f"SELECT label, pred, count(*) AS n FROM {LABELLED} t GROUP BY 1, 2",
     "g27_metrics": f"SELECT round(avg(CASE WHEN label = pred THEN 1e0 ELSE 0e0 END), 8) AS accuracy, round(count(CASE WHEN label = 1 AND pred = 1 THEN 1 END) / CAST(count(CASE WHEN pred = 1 THEN 1 END) AS DOUBLE), 8) AS precision_1, round(count(CASE WHEN label = 1 AND pred = 1 THEN 1 END) / CAST(count(CASE WHEN label = 1 THEN 1 END) AS DOUBLE), 8) AS recall_1 FROM {LABELLED} t",
     "g28_auc": f"SELECT round((sum(CASE WHEN label = 1 THEN r END) - count(CASE WHEN label = 1 THEN 1 END) * (count(CASE WHEN label = 1 THEN 1 END) + 1) / 2.0) / CAST(count(CASE WHEN label = 1 THEN 1 END) * count(CASE WHEN label = 0 THEN 1 END) AS DOUBLE), 8) AS auc FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM {LABELLED} t) x",
@@ -67,10 +64,6 @@ SHARED = {
     "h14_nearest_to_line": "SELECT s_suppkey FROM supplier ORDER BY abs(0.6 * s_suppkey + 0.8 * s_acctbal / 100 - 40), s_suppkey LIMIT 10",
     "h15_best_row": "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) t WHERE rn = 1",
     "k02_dense_ids": "SELECT k, dense_rank() OVER (ORDER BY k) - 1 AS idx FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem) t",
-    "l06_hybrid": f"SELECT user_id, item_id, round((m * n + 3.7107903640311 * 3.5 * 10) / (n + 3.7107903640311 * 10), 8) AS p FROM (SELECT user_id, item_id, avg(stars) AS m, count(*) AS n FROM {REVIEWS} r GROUP BY 1, 2) t",
-    "l07_three_way_hybrid": f"SELECT user_id, item_id, round(0.0028 * m + 0.0059 * lo + 0.99129 * hi, 8) AS p FROM (SELECT user_id, item_id, avg(stars) AS m, min(stars) AS lo, max(stars) AS hi FROM {REVIEWS} r GROUP BY 1, 2) t",
-    "n02_seen_before": "SELECT batch, count(*) AS n, count(CASE WHEN first_batch < batch THEN 1 END) AS seen FROM (SELECT batch, min(batch) OVER (PARTITION BY user_id) AS first_batch FROM (SELECT user_id, CAST(ceil(row_number() OVER (ORDER BY ts, event_id) / 100.0) AS BIGINT) AS batch FROM events) b) t GROUP BY batch",
-    "n03_exact_distinct": "SELECT batch, count(DISTINCT user_id) AS users FROM (SELECT user_id, CAST(ceil(row_number() OVER (ORDER BY ts, event_id) / 300.0) AS BIGINT) AS batch FROM events) b GROUP BY batch",
     "o02_cluster_summary": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS s1, round(sum(l_quantity * l_quantity), 2) AS q1 FROM lineitem GROUP BY l_returnflag",
     "o08_cluster_labels": "SELECT cluster, lang FROM (SELECT doc_id % 5 AS cluster, lang, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY count(*) DESC, lang) AS rn FROM documents GROUP BY 1, 2) t WHERE rn = 1",
     "p12_polarity": "SELECT event_id, round(CASE WHEN event_type IN ('purchase', 'signup') THEN value / 100 ELSE 1 - value / 100 END, 8) AS score FROM events",
@@ -79,7 +72,5 @@ SHARED = {
     "q02_cells": "SELECT l_orderkey, l_linenumber, CAST(least(floor((l_quantity - 1) / 5), 9) * 10 + least(floor(l_discount / 0.011), 9) AS BIGINT) AS cell FROM lineitem",
     "q04_normalised_rate": "SELECT m, round(n / 3e1 * CASE WHEN m IN (6, 7, 8) THEN 9e-1 ELSE 11e-1 END, 8) AS rate FROM (SELECT month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1) t",
     "q05_hot_blocks": "SELECT factor, count(CASE WHEN n > factor * m THEN 1 END) AS hot FROM (SELECT n, avg(n) OVER () AS m FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) a) b CROSS JOIN (SELECT 1e0 AS factor UNION ALL SELECT 11e-1 UNION ALL SELECT 12e-1) f GROUP BY factor",
-    "r02_scaling": "SELECT s_suppkey, round((s_acctbal - avg(s_acctbal) OVER ()) / stddev_pop(s_acctbal) OVER (), 6) AS z, round((s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 8) AS minmax FROM supplier",
     "r03_mean_imputation": "SELECT event_id, round(coalesce(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END, m), 6) AS v FROM events CROSS JOIN (SELECT avg(value) AS m FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0) t",
-    "r12_power_set": "SELECT doc_id, dense_rank() OVER (ORDER BY quality, toxic) - 1 AS class FROM labels",
 }

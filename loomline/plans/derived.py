@@ -143,7 +143,6 @@ DERIVED = {
     "e04_display_date": (lambda s, d: _t(s, d, "events").select("event_id", F.date_format("ts", "dd-MMM").alias("day")), "SELECT event_id, strftime(ts, '%d-%b') AS day FROM events"),
     "e11_permissions": (lambda s, d: s.range(512).select("id", T.permission(F.lpad(F.conv(F.col("id").cast("string"), 10, 8), 3, "0"), F.col("id") % 2 == 0).alias("p")), "SELECT id, CASE WHEN id % 2 = 0 THEN 'd' ELSE '-' END || list_aggregate([CASE WHEN (id >> (8 - i)) & 1 = 1 THEN ['r','w','x'][i % 3 + 1] ELSE '-' END for i in range(9)], 'string_agg', '') AS p FROM range(512) t(id)"),
     "e13_round_half_even": (lambda s, d: _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 2).cast("long").alias("v")), "SELECT l_orderkey, l_linenumber, CAST(round_even(l_quantity / 2, 0) AS BIGINT) AS v FROM lineitem"),
-    "e15_tokens": (lambda s, d: _tokens(s, d).select("doc_id", F.size("tokens").cast("long").alias("n"), F.concat_ws(" ", F.slice("tokens", 1, 5)).alias("head")), f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, array_to_string(t[1:5], ' ') AS head FROM (SELECT doc_id, {WORDS} AS t FROM documents)"),
     "e16_clean_text": (lambda s, d: _t(s, d, "pages").select("page_id", T.clean(F.col("html"), False).alias("clean")), "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(html), '<[^>]*>', ' ', 'g'), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS clean FROM pages"),
     "e17_letters_only": (lambda s, d: _t(s, d, "benchmark").select("item_id", T.letters_only(F.col("text")).alias("t")), "SELECT item_id, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS t FROM benchmark"),
     "e18_stop_words": (lambda s, d: _tokens(s, d).select("doc_id", F.size(T.without(F.col("tokens"), ["the", "of", "and", "to"])).cast("long").alias("n")), f"SELECT doc_id, CAST(len(list_filter({WORDS}, lambda y: y NOT IN ('the', 'of', 'and', 'to'))) AS BIGINT) AS n FROM documents"),
@@ -152,13 +151,10 @@ DERIVED = {
     "e23_fixed_length": (lambda s, d: _tokens(s, d).select("doc_id", F.concat_ws(" ", T.fixed_length(F.col("tokens"), 6, F.lit("<pad>"))).alias("t")), f"SELECT doc_id, array_to_string(list_concat({WORDS}, ['<pad>','<pad>','<pad>','<pad>','<pad>','<pad>'])[1:6], ' ') AS t FROM documents"),
     "e28_hamming": (lambda s, d: _t(s, d, "labels").select("doc_id", T.hamming(F.array("quality", "toxic"), F.array(F.lit(1), F.lit(0))).cast("long").alias("h")), "SELECT doc_id, CAST((quality <> 1) AS BIGINT) + CAST((toxic <> 0) AS BIGINT) AS h FROM labels"),
     "e29_cosine": (lambda s, d: _vectors(s, d).crossJoin(F.broadcast(_vectors(s, d).where("id = 0").select(F.col("v").alias("w")))).select("id", F.round(T.cosine(F.col("v"), F.col("w")), 6).alias("c")), "SELECT vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(z.w AS DOUBLE[])), 6) AS c FROM embeddings e CROSS JOIN (SELECT embedding AS w FROM embeddings WHERE vec_id = 0) z"),
-    "e30_mean_vector": (lambda s, d: _vectors(s, d).select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg("x"), 6).alias("m")), "SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS m FROM (SELECT label, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY 1, 2"),
     "e31_chunks": (lambda s, d: _t(s, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("i", "c")).select("doc_id", "i", F.char_length("c").alias("n")), "SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(least(512, length(text) - i * 512) AS INTEGER) AS n FROM (SELECT doc_id, text, unnest(range(CAST(greatest(ceil(length(text) / 512.0), 1) AS BIGINT))) AS i FROM documents)"),
     "f11_lsh_join": (lambda s, d: mining.minhash_pairs(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey", 0.5, 20, 3).agg(F.count("*").alias("n")), None),
     "f12_asof": (_asof, "SELECT event_id, last_value(p IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known FROM (SELECT *, CASE WHEN event_type = 'purchase' THEN value END AS p FROM events) QUALIFY event_type = 'error'"),
-    "g05_collect": (lambda s, d: mining.baskets(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey").select("l_orderkey", F.concat_ws(",", "items").alias("items")), "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))), ',') AS items FROM lineitem GROUP BY 1"),
     "g09_pivot_sum": (lambda s, d: _t(s, d, "events").groupBy("user_id").pivot("event_type", ["click", "view", "error"]).agg(F.count("event_id")).select("user_id", F.coalesce("click", F.lit(0)).alias("click"), F.coalesce("view", F.lit(0)).alias("viewed"), F.coalesce("error", F.lit(0)).alias("error")), "SELECT user_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS click, count(CASE WHEN event_type = 'view' THEN 1 END) AS viewed, count(CASE WHEN event_type = 'error' THEN 1 END) AS error FROM events GROUP BY 1 HAVING true"),
-    "g24_inverted_index": (lambda s, d: _tokens(s, d).select("doc_id", F.explode(F.array_distinct("tokens")).alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")), f"SELECT w, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest(list_distinct({WORDS})) AS w FROM documents) GROUP BY 1"),
     "g25_keyword_search": (lambda s, d: _tokens(s, d).select("doc_id", F.explode(F.array_distinct("tokens")).alias("w")).where(F.col("w").isin("the", "license", "of")).groupBy("doc_id").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), F.desc("doc_id")), f"SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(list_distinct({WORDS})) AS w FROM documents) WHERE w IN ('the', 'license', 'of') GROUP BY 1"),
     "g29_bootstrap": (_bootstrap, None),
     "g31_studentized_outliers": (_studentized, "WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS mx, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) AS sse FROM lineitem), r AS (SELECT l_orderkey, l_linenumber, l_extendedprice - a - b * l_quantity AS r, 1.0 / n + pow(l_quantity - mx, 2) / sxx AS h, n, sse FROM lineitem CROSS JOIN s) SELECT l_orderkey, l_linenumber FROM r WHERE abs(r / sqrt((sse - r * r / (1 - h)) / (n - 3) * (1 - h))) > 1.6"),
@@ -170,18 +166,11 @@ DERIVED = {
     "j03_large_baskets": (lambda s, d: mining.baskets(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey").where(F.size("items") > 6).select("l_orderkey"), "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 6"),
     "j05_pair_buckets": (lambda s, d: mining.pair_buckets(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey"), "WITH b AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem) SELECT (47 * (a.i + b.i) + 19) % 49 AS bucket, count(*) AS n FROM b a JOIN b ON a.k = b.k AND a.i < b.i GROUP BY 1"),
     "j06_frequent_buckets": (lambda s, d: mining.pair_buckets(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey").where("n >= 1500").select("bucket"), "WITH b AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem) SELECT (47 * (a.i + b.i) + 19) % 49 AS bucket FROM b a JOIN b ON a.k = b.k AND a.i < b.i GROUP BY 1 HAVING count(*) >= 1500"),
-    "j10_frequent_itemsets": (lambda s, d: mining.itemsets(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey", 25, 2).select(F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "n"), "WITH b AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem) SELECT CAST(i AS VARCHAR) AS items, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 25 UNION ALL SELECT a.i || ',' || b.i, count(*) FROM b a JOIN b ON a.k = b.k AND a.i < b.i GROUP BY 1 HAVING count(*) >= 25"),
     "k01_jaccard": (lambda s, d: mining.jaccard(_t(s, d, "lineitem"), "l_suppkey", "l_orderkey", 0.02).select("a", "b", F.round("similarity", 8).alias("similarity")), "WITH o AS (SELECT DISTINCT l_suppkey AS k, l_orderkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM o GROUP BY 1), p AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM o x JOIN o y ON x.i = y.i AND x.k < y.k GROUP BY 1, 2) SELECT a, b, round(CAST(c AS DOUBLE) / (m.n + q.n - c), 8) AS similarity FROM p JOIN n m ON m.k = a JOIN n q ON q.k = b WHERE CAST(c AS DOUBLE) / (m.n + q.n - c) >= 0.02"),
     "k03_minhash": (lambda s, d: mining.minhash_pairs(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey", 0.5, 50, 3).agg(F.count("*").alias("pairs")), None),
     "k08_knn": (lambda s, d: mining.knn(*_knn_sets(s, d), 5), "WITH tr AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 5 > 0), te AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 = 0), p AS (SELECT te.vec_id AS id, tr.label, row_number() OVER (PARTITION BY te.vec_id ORDER BY list_distance(te.v, tr.v), tr.vec_id) AS nth FROM te CROSS JOIN tr), c AS (SELECT id, label, count(*) AS w FROM p WHERE nth <= 5 GROUP BY 1, 2) SELECT id, label AS prediction FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1"),
-    "k08_knn_manhattan": (lambda s, d: mining.knn(*_knn_sets(s, d), 3, "manhattan", "inverse"), None),
-    "k08_knn_minkowski": (lambda s, d: mining.knn(*_knn_sets(s, d), 3, distance=mining.minkowski(3)), None),
-    "k08_knn_chebyshev": (lambda s, d: mining.knn(*_knn_sets(s, d), 3, "chebyshev"), None),
     "k09_knn_regression": (lambda s, d: mining.knn_regression(*_knn_sets(s, d), 5).select("id", F.round("prediction", 6).alias("prediction")), "WITH tr AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 5 > 0), te AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 = 0) SELECT id, round(avg(label), 6) AS prediction FROM (SELECT te.vec_id AS id, tr.label, row_number() OVER (PARTITION BY te.vec_id ORDER BY list_distance(te.v, tr.v), tr.vec_id) AS nth FROM te CROSS JOIN tr) WHERE nth <= 5 GROUP BY 1"),
     "l01_pearson": (lambda s, d: mining.pearson(_ratings(s, d)).select("a", "b", "n", F.round("corr", 6).alias("corr")), f"SELECT a, b, n, round(corr, 6) AS corr FROM {PEARSON}"),
-    "l02_item_based": (lambda s, d: mining.item_predictions(_ratings(s, d), _item_asks(_ratings(s, d))).select("user", "item", F.round("prediction", 5).alias("prediction")), None),
-    "l03_cold_start": (lambda s, d: mining.item_predictions(_ratings(s, d), s.createDataFrame([(10**9, 1), (1, 10**9), (10**9, 10**9)], "user long, item long")), None),
-    "l04_user_based": (lambda s, d: mining.user_predictions(_ratings(s, d), _item_asks(_ratings(s, d))).select("user", "item", F.round("prediction", 5).alias("prediction")), None),
     "m01_cooccurrence_graph": (_edges, f"SELECT src, dst FROM {EDGES}"),
     "m02_adjacency": (lambda s, d: graph.adjacency(_edges(s, d)).select("src", F.concat_ws(",", F.col("neighbours").cast("array<string>")).alias("neighbours")), f"SELECT src, array_to_string(list_sort(list(dst)), ',') AS neighbours FROM (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}) GROUP BY 1"),
     "m03_label_propagation": (lambda s, d: graph.label_propagation(_edges(s, d)), None),
@@ -194,9 +183,7 @@ DERIVED = {
     "n03_flajolet_martin": (lambda s, d: sketches.flajolet_martin(sketches.numbered(_t(s, d, "orders"), 3000, "o_orderdate", "o_orderkey"), "o_custkey"), None),
     "n04_reservoir": (lambda s, d: sketches.reservoir(_t(s, d, "events"), "event_id"), None),
     "n06_windowed_counts": (lambda s, d: sketches.windowed_counts(_t(s, d, "events"), "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
-    "o01_bfr": (lambda s, d: clusters.bfr(_vectors(s, d), 64, 10).groupBy("c").agg(F.count("*").alias("n")), None),
-    "o03_assign": (lambda s, d: clusters.assign(_vectors(s, d), clusters.summaries(_vectors(s, d).withColumn("c", F.col("label")), 64), 64).select("id", "c", F.round("distance", 5).alias("distance")), None),
-    "o09_calinski_harabasz": (lambda s, d: clusters.calinski_harabasz(_vectors(s, d).withColumn("c", F.col("label")), 64), None),
+    "o01_bfr": (lambda s, d: clusters.bfr(_vectors(s, d), 64, 10)[0].groupBy("c").agg(F.count("*").alias("n")), None),
     "p01_vocabulary": (lambda s, d: _tagged(s, d).groupBy("word").agg(F.count("*").alias("n")).groupBy(F.when(F.col("n") <= 3, "< unk >").otherwise(F.col("word")).alias("word")).agg(F.sum("n").alias("n")), f"SELECT CASE WHEN n <= 3 THEN '< unk >' ELSE word END AS word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT word, count(*) AS n FROM {TAGGED} GROUP BY 1) GROUP BY 1"),
     "p02_transitions": (lambda s, d: sequences.transitions(_tagged(s, d)).select("before", "tag", F.round("p", 8).alias("p")), f"SELECT before, tag, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY before) AS DOUBLE), 8) AS p FROM (SELECT lag(tag, 1, 'start') OVER (PARTITION BY sent ORDER BY idx) AS before, tag FROM {TAGGED}) GROUP BY 1, 2"),
     "p03_emissions": (lambda s, d: sequences.emissions(_tagged(s, d)).select("tag", "word", F.round("p", 8).alias("p")), f"SELECT tag, word, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY tag) AS DOUBLE), 8) AS p FROM {TAGGED} GROUP BY 1, 2"),
@@ -211,5 +198,4 @@ DERIVED = {
     "r06_random_forest": (_classifier(_ml("classification", "RandomForestClassifier", numTrees=10, seed=1)), None),
     "r07_linear_svm": (_classifier(_ml("classification", "LinearSVC", maxIter=10)), None),
     "r08_naive_bayes": (_classifier(_ml("classification", "NaiveBayes", modelType="gaussian")), None),
-    "l05_boosted_trees": (_classifier(_ml("regression", "GBTRegressor", maxIter=3, seed=1)), None),
 }

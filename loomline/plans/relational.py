@@ -28,7 +28,6 @@ SHARED = {
     "a24_year_count": "SELECT count(*) AS n FROM orders WHERE year(o_orderdate) = 1996",
     "a25_distinct_count": "SELECT count(DISTINCT o_custkey) AS n FROM orders",
     "a26_top_keys": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10",
-    "a27_report": "SELECT (SELECT count(*) FROM orders) AS n_orders, (SELECT count(*) FROM orders WHERE year(o_orderdate) = 1996) AS n_1996, (SELECT count(DISTINCT o_custkey) FROM orders) AS n_customers, (SELECT max(o_custkey) FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10) t) AS largest_of_top",
     "a30_left_join_undefined": "SELECT s_suppkey, coalesce(n_name, 'Undefined') AS nation FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) x ON s_nationkey = n_nationkey",
     "a31_group_average": "SELECT coalesce(n_name, 'Undefined') AS nation, round(avg(s_acctbal), 6) AS avg_bal FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 ORDER BY avg_bal DESC, nation",
     "a32_sorted_top": f"SELECT item_id, round(avg(stars), 6) AS avg_stars FROM {REVIEWS} r GROUP BY item_id ORDER BY avg_stars DESC, item_id LIMIT 10",
@@ -38,7 +37,6 @@ SHARED = {
     "a36_max_four_keys": "SELECT l_returnflag, l_linestatus, l_linenumber, year(l_shipdate) AS yr, max(l_quantity) AS top FROM lineitem GROUP BY 1, 2, 3, 4",
     "a37_conditional_counts": "SELECT event_type, count(CASE WHEN value < 10 THEN 1 END) AS low, count(CASE WHEN value >= 10 AND value < 50 THEN 1 END) AS middle, count(CASE WHEN value >= 50 THEN 1 END) AS high, count(*) AS total FROM events GROUP BY event_type",
     "a38_outer_complete": "SELECT n_nationkey, coalesce(k, 0) AS n FROM nation FULL OUTER JOIN (SELECT s_nationkey, count(*) AS k FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON n_nationkey = s_nationkey",
-    "a39_range_filter_lookups": "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE c_custkey BETWEEN 10 AND 400 AND c_nationkey BETWEEN 2 AND 20 AND c_acctbal BETWEEN 0 AND 5000",
     "a40_feature_join": "SELECT n_nationkey, coalesce(s.n, 0) AS suppliers, coalesce(c.n, 0) AS customers, coalesce(o.n, 0) AS orders_placed, coalesce(round(c.bal, 4), 0) AS balance FROM nation LEFT JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON n_nationkey = s.k LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n, sum(c_acctbal) AS bal FROM customer GROUP BY 1) c ON n_nationkey = c.k LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1) o ON n_nationkey = o.k",
     "b04_select_aggregates": "SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean_price, max(o_totalprice) AS top, min(o_totalprice) AS low, count(*) AS n FROM orders GROUP BY 1",
     "b06_order_by_ordinal": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 7",
@@ -52,7 +50,6 @@ SHARED = {
     "f02_inner_three_keys": "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_partkey = b.l_partkey WHERE a.l_quantity > 48",
     "f03_left_outer": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY c_custkey",
     "f04_feature_table": f"SELECT r.user_id, r.item_id, round(u.m, 6) AS user_avg, round(i.m, 6) AS item_avg, u.n AS user_n, i.n AS item_n FROM (SELECT DISTINCT user_id, item_id FROM {REVIEWS} x) r LEFT JOIN (SELECT user_id, avg(stars) AS m, count(*) AS n FROM {REVIEWS} x GROUP BY 1) u ON r.user_id = u.user_id LEFT JOIN (SELECT item_id, avg(stars) AS m, count(*) AS n FROM {REVIEWS} x GROUP BY 1) i ON r.item_id = i.item_id",
-    "f05_full_outer": "SELECT coalesce(a.k, b.k) AS nation, a.n AS suppliers, b.n AS customers FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1) a FULL OUTER JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1) b ON a.k = b.k",
     "f06_anti": "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity = 50 AND l_returnflag = 'A')",
     "f07_semi": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)",
     "f08_cross_dimensions": "SELECT r_name, p, m FROM region CROSS JOIN (SELECT DISTINCT o_orderpriority AS p FROM orders) x CROSS JOIN (SELECT DISTINCT month(o_orderdate) AS m FROM orders) y",
