@@ -110,9 +110,18 @@ def _signature(values: np.ndarray) -> tuple[int, int]:
 
 
 def parity(values: np.ndarray) -> bytes:
-    """A sketch of SKETCH_BITS bits; every shingle flips one."""
-    bits = (W.mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    """A sketch; every shingle flips one bit. It has SKETCH_BITS bits, and more for larger sets: a full one would tell nothing."""
+    size = max(SKETCH_BITS, 1 << (len(values) - 1).bit_length())
+    bits = (W.mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of fewer bytes of the same set: bits that a shorter sketch doesn't tell apart are added up."""
+    out = np.frombuffer(sketch, np.uint64)
+    while out.nbytes > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
 
 
 def _near(percent: int):
@@ -125,7 +134,18 @@ def _near(percent: int):
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         keys, nodes, n = (rows.column(i).to_numpy() for i in range(3))
-        sketch = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(len(keys), -1)
+        blobs = rows.column(3).to_pylist()
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        least = np.minimum.reduceat(np.array([len(b) for b in blobs]), at)  # of a bucket; its sets are of one size band
+        of_row = np.repeat(least, np.diff(np.concatenate([at, [len(keys)]])))
+        out = []
+        for size in np.unique(least).tolist():
+            some = np.flatnonzero(of_row == size)
+            out.append(joined(keys[some], nodes[some], n[some], np.stack([folded(blobs[i], size) for i in some.tolist()])))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def joined(keys: np.ndarray, nodes: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.concatenate([at, [len(keys)]]))
         two = at[sizes == 2]
@@ -144,7 +164,7 @@ def _near(percent: int):
                         queue += found.tolist()
                         a.append(np.full(len(found), root))
                         b.append(nodes[found])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+        return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -309,12 +329,15 @@ def _linked(plan: DataFrame, held: DataFrame, percent: int, scratch: Scratch) ->
     whole = components(edges.where("a <> b"), scratch)
     rooted = scratch.keep(cut.join(whole, cut["doc_id"] == whole["node"], "left").select("doc_id", "family", "bytes", "chunks", "part", F.coalesce("root", "doc_id").alias("root")))
     core = rooted.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("core"))
-    rest = scratch.keep(rooted.join(core, "family").where("root <> core").select("doc_id", "family", "bytes", "chunks"))
-    many = rest.groupBy("family").agg(F.count("*").alias("many"), F.sum("bytes").alias("all")).select("family", _chunks("many", "all").alias("sides"))
+    rooted = rooted.join(core, "family").withColumn("inside", F.col("root") == F.col("core"))
+    many = rooted.where("not inside").groupBy("family").agg(F.count("*").alias("many"), F.sum("bytes").alias("all")).select("family", _chunks("many", "all").alias("sides"))
     side = F.pmod(F.xxhash64(F.lit(PIVOTS), "doc_id"), F.col("sides")).cast("int")
-    of_rest = rest.join(many, "family").select("doc_id", "family", side.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
-    of_all = rooted.join(many, "family").select("doc_id", "family", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("i"), F.col("part").alias("j"))
-    return edges.unionAll(compare(of_rest.unionAll(of_all)))
+    upto = lambda column: F.sequence(F.lit(0), F.col(column) - 1)
+    # chunks outside the core meet each other (i <= j) and those of the core (j from sides on)
+    outside = F.concat(F.transform(upto("sides"), lambda x: F.struct(F.least(side, x).alias("i"), F.greatest(side, x).alias("j"))), F.transform(upto("chunks"), lambda x: F.struct(side.alias("i"), (F.col("sides") + x).alias("j"))))
+    inside = F.transform(upto("sides"), lambda x: F.struct(x.alias("i"), (F.col("sides") + F.col("part")).alias("j")))
+    dealt = rooted.join(many, "family").select("doc_id", "family", F.explode(F.when(F.col("inside"), inside).otherwise(outside)).alias("at"))
+    return edges.unionAll(compare(dealt.select("doc_id", "family", "at.i", "at.j")))
 
 
 def jaccard_join(docs: DataFrame, percent: int = 85, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
