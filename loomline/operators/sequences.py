@@ -69,10 +69,11 @@ def decode(tagged: DataFrame, sentences: DataFrame, viterbi: bool = True, unknow
 
 def tfidf(docs: DataFrame, words: int = 10000) -> DataFrame:
     """(id, word, w) of (id, tokens): smooth idf ln((1+n)/(1+df)) + 1, rows of unit length, over the most frequent words."""
-    each = docs.select("id", F.explode("tokens").alias("word"))
-    tf = each.groupBy("id", "word").agg(F.count("*").alias("tf"))
-    stats = tf.groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    stats = stats.orderBy(F.col("total").desc(), "word").limit(words)
-    n = docs.count()
-    weighted = tf.join(stats, "word").select("id", "word", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
+    totals = docs.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("total"))
+    top = totals.orderBy(F.col("total").desc(), "word").limit(words).select("word")
+    stats = docs.select(F.explode(F.array_distinct("tokens")).alias("word")).join(F.broadcast(top), "word").groupBy("word").agg(F.count("*").alias("df"))
+    # the vocabulary is bounded by ``words``; other words don't reach the shuffle
+    each = docs.select("id", F.explode("tokens").alias("word")).join(F.broadcast(stats), "word")
+    tf = each.groupBy("id", "word", "df").agg(F.count("*").alias("tf"))
+    weighted = tf.select("id", "word", (F.col("tf") * (F.log((1 + F.lit(docs.count())) / (1 + F.col("df"))) + 1)).alias("w"))
     return weighted.select("id", "word", (F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy("id")))).alias("w"))
