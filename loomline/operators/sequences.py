@@ -5,9 +5,38 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
+
+def positions(rows: DataFrame, *order: str | Column, name: str = "nth", total: str | None = None) -> DataFrame:
+    """Adds ``name``, the place (long, from 1) of every row in an order, and if named the count of all rows.
+
+    Rows are dealt by ranges of the order, sorted and written there, so no task
+    takes the whole table; only the row counts of the ranges meet in one task.
+    Equal rows are numbered in any order; an order should end in a key, as rows
+    equal in all of it share a range.
+    """
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = checkpointed(sorted_rows.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")))
+    part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("range")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    found = placed.withColumn("range", part).join(F.broadcast(sums), "range")
+    added = [(inside + F.col("before") + 1).alias(name)] + ([F.col("all").alias(total)] if total else [])
+    return found.select("row.*", *added)
+
+
+def tiles(rows: DataFrame, parts: int, *order: str | Column, name: str = "part_id") -> DataFrame:
+    """Adds ``name`` (from 1): contiguous parts of an order, the first ones a row larger where the rows don't divide evenly."""
+    size, extra = F.floor(F.col("_total") / parts), F.col("_total") % parts
+    place, large = F.col("_nth") - 1, extra * (size + 1)
+    tile = F.when(place < large, F.floor(place / (size + 1))).otherwise(extra + F.floor((place - large) / F.greatest(size, F.lit(1))))
+    return positions(rows, *order, name="_nth", total="_total").withColumn(name, (tile + 1).cast("int")).drop("_nth", "_total")
+
 
 def forward_fill(rows: DataFrame, value: str, order: list[str], by: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Fills nulls with the last value, at most ``limit`` rows back."""
@@ -35,20 +64,21 @@ def emissions(tagged: DataFrame, lower: bool = False) -> DataFrame:
 
 
 def decode(tagged: DataFrame, sentences: DataFrame, viterbi: bool = True, unknown: str = "NNP") -> DataFrame:
-    """(sent, idx, tag) for (sent, idx, word): Viterbi in log space or greedy. The model (tags and vocabulary) is a stated small table. An unknown first word gets ``unknown``; a later one follows the likeliest next tag."""
-    t = {(r["before"], r["tag"]): math.log(r["p"]) for r in transitions(tagged).collect()}
-    e: dict[str, dict[str, float]] = {}
-    for r in emissions(tagged).collect():
-        e.setdefault(r["word"], {})[r["tag"]] = math.log(r["p"])
-    tags = sorted({b for _, b in t})
-    shared = sentences.sparkSession.sparkContext.broadcast((t, e, tags))
+    """(sent, idx, tag) for (sent, idx, word): Viterbi in log space or greedy. An unknown first word gets ``unknown``; a later one follows the likeliest next tag.
+
+    Tags are few: their transitions are shipped with the function. The vocabulary
+    is not: every word meets its tags by a join. A sentence is decoded in one task.
+    """
+    trans = {(r["before"], r["tag"]): math.log(r["p"]) for r in transitions(tagged).collect()}
+    known = sorted({b for _, b in trans})
+    emitted = emissions(tagged).groupBy("word").agg(F.collect_list(F.struct("tag", F.log("p").alias("log"))).alias("e"))
+    asked = sentences.select("sent", "idx", "word").join(emitted, "word", "left").select("sent", "idx", F.col("e.tag").alias("_tags"), F.col("e.log").alias("_logs"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        trans, emit, known = shared.value
         pdf = pdf.sort_values("idx")
         best, links = {"start": 0.0}, []
-        for i, word in enumerate(pdf["word"]):
-            options = emit.get(word) or ({unknown: 0.0} if i == 0 else dict.fromkeys(known, 0.0))
+        for i, (tags, logs) in enumerate(zip(pdf["_tags"], pdf["_logs"], strict=True)):
+            options = dict(zip(tags, logs, strict=True)) if tags is not None else {unknown: 0.0} if i == 0 else dict.fromkeys(known, 0.0)
             step, back = {}, {}
             for tag in sorted(options):
                 score, before = max((s + trans.get((b, tag), -1e3), b) for b, s in sorted(best.items()))
@@ -64,7 +94,7 @@ def decode(tagged: DataFrame, sentences: DataFrame, viterbi: bool = True, unknow
             tag = back[tag]
         return pd.DataFrame({"sent": pdf["sent"], "idx": pdf["idx"], "tag": out[::-1]})
 
-    return sentences.groupBy("sent").applyInPandas(run, "sent long, idx long, tag string")
+    return asked.groupBy("sent").applyInPandas(run, "sent long, idx long, tag string")
 
 
 def tfidf(docs: DataFrame, words: int = 10000) -> DataFrame:

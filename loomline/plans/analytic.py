@@ -63,7 +63,6 @@ SHARED = {
     "h13_top_k_per_group": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 3",
     "h14_nearest_to_line": "SELECT s_suppkey FROM supplier ORDER BY abs(0.6 * s_suppkey + 0.8 * s_acctbal / 100 - 40), s_suppkey LIMIT 10",
     "h15_best_row": "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) t WHERE rn = 1",
-    "k02_dense_ids": "SELECT k, dense_rank() OVER (ORDER BY k) - 1 AS idx FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem) t",
     "o02_cluster_summary": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS s1, round(sum(l_quantity * l_quantity), 2) AS q1 FROM lineitem GROUP BY l_returnflag",
     "o08_cluster_labels": "SELECT cluster, lang FROM (SELECT doc_id % 5 AS cluster, lang, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY count(*) DESC, lang) AS rn FROM documents GROUP BY 1, 2) t WHERE rn = 1",
     "p12_polarity": "SELECT event_id, round(CASE WHEN event_type IN ('purchase', 'signup') THEN value / 100 ELSE 1 - value / 100 END, 8) AS score FROM events",

@@ -124,6 +124,10 @@ def _knn_sets(spark, d):
     return v.where("id % 5 > 0"), v.where("id % 5 = 0")
 
 
+def _split(spark, d):
+    return sequences.tiles(_t(spark, d, "supplier").select("s_suppkey", "s_name"), 5, "s_name", "s_suppkey")
+
+
 def _asof(spark, d):
     """Last purchase value known at every error, by user."""
     e = _t(spark, d, "events")
@@ -139,11 +143,18 @@ DAILY = "(SELECT CAST(ts AS DATE) AS d, round(sum(value), 4) AS v, max(CASE WHEN
 
 PEARSON = f"(SELECT a.item AS a, b.item AS b, count(*) AS n, CASE WHEN count(*) < 2 THEN 0.0 ELSE coalesce((count(*) * sum(a.stars * b.stars) - sum(a.stars) * sum(b.stars)) / nullif(sqrt(greatest((count(*) * sum(a.stars * a.stars) - sum(a.stars) * sum(a.stars)) * (count(*) * sum(b.stars * b.stars) - sum(b.stars) * sum(b.stars)), 0.0)), 0), 0.0) END AS corr FROM {RATINGS} a JOIN {RATINGS} b ON a.\"user\" = b.\"user\" AND a.item < b.item GROUP BY 1, 2)"
 
+LABELS = f"WITH u AS MATERIALIZED (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), l0 AS (SELECT DISTINCT src AS node, src AS label FROM u)" + "".join(f", l{k} AS (SELECT src AS node, label FROM (SELECT u.src, l.label, row_number() OVER (PARTITION BY u.src ORDER BY count(*) DESC, l.label) AS nth FROM u JOIN l{k - 1} l ON l.node = u.dst GROUP BY 1, 2) WHERE nth = 1)" for k in range(1, 6)) + " SELECT node, label FROM l5"
+
+# levels by a closure, then the counts of paths level by level
+PATHS = f"WITH RECURSIVE u AS MATERIALIZED (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), r AS (SELECT src AS root, src AS node, 0 AS level FROM u UNION SELECT r.root, u.dst, r.level + 1 FROM r JOIN u ON r.node = u.src WHERE r.level + 1 < (SELECT count(DISTINCT src) FROM u)), d AS MATERIALIZED (SELECT root, node, min(level) AS level FROM r GROUP BY 1, 2), p AS (SELECT root, node, level, CAST(1 AS BIGINT) AS paths FROM d WHERE level = 0 UNION ALL SELECT p.root, d.node, d.level, CAST(sum(p.paths) AS BIGINT) FROM p JOIN u ON u.src = p.node JOIN d ON d.root = p.root AND d.node = u.dst AND d.level = p.level + 1 GROUP BY 1, 2, 3)"
+
 # name: (Spark query, SQL or None)
 DERIVED = {
     "a11_create_view": (lambda s, d: (_t(s, d, "supplier").createOrReplaceTempView("sup_view"), s.sql("SELECT s_nationkey, count(*) AS n FROM sup_view GROUP BY 1"))[1], "SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1"),
     "a28_partition_sizes": (_partitions, None),
     "a29_custom_partitioner": (_by_first_char, None),
+    "c03_put_split": (lambda s, d: _split(s, d).select("s_suppkey", "part_id"), "SELECT s_suppkey, ntile(5) OVER (ORDER BY s_name, s_suppkey) AS part_id FROM supplier"),
+    "c05_read_partition": (lambda s, d: _split(s, d).where("part_id = 2").select("s_suppkey"), "SELECT s_suppkey FROM (SELECT s_suppkey, ntile(5) OVER (ORDER BY s_name, s_suppkey) AS part_id FROM supplier) t WHERE part_id = 2"),
     "e02_epoch_ms": (lambda s, d: _t(s, d, "orders").select("o_orderkey", T.epoch_ms(F.col("o_orderkey") * 86400123).alias("t")), "SELECT o_orderkey, strftime(make_timestamp(o_orderkey * 86400123 * 1000), '%m/%d/%Y %H:%M') AS t FROM orders"),
     "e03_date_hour": (lambda s, d: _t(s, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "HH").alias("hour")), "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H') AS hour FROM events"),
     "e04_display_date": (lambda s, d: _t(s, d, "events").select("event_id", F.date_format("ts", "dd-MMM").alias("day")), "SELECT event_id, strftime(ts, '%d-%b') AS day FROM events"),
@@ -166,7 +177,7 @@ DERIVED = {
     "g31_studentized_outliers": (_studentized, "WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS mx, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) AS sse FROM lineitem), r AS (SELECT l_orderkey, l_linenumber, l_extendedprice - a - b * l_quantity AS r, 1.0 / n + pow(l_quantity - mx, 2) / sxx AS h, n, sse FROM lineitem CROSS JOIN s) SELECT l_orderkey, l_linenumber FROM r WHERE abs(r / sqrt((sse - r * r / (1 - h)) / (n - 3) * (1 - h))) > 1.6"),
     "h07_fill_limited": (lambda s, d: sequences.forward_fill(_daily(s, d), "sparse", ["d"], limit=2).select("d", "sparse"), f"SELECT d, last_value(sparse IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS sparse FROM {DAILY}"),
     "h09_lookback": (lambda s, d: sequences.lookback(_daily(s, d), "v", ["d"], 3).select("d", "v", F.round(F.col("past")[0], 4).alias("p3"), F.round(F.col("past")[2], 4).alias("p1")), f"SELECT d, v, p3, p1 FROM (SELECT d, v, lag(v, 3) OVER (ORDER BY d) AS p3, lag(v, 1) OVER (ORDER BY d) AS p1 FROM {DAILY}) WHERE p3 IS NOT NULL"),
-    "h16_vocabulary_rank": (lambda s, d: _tokens(s, d).select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "w"))), f"SELECT w, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, w) AS INTEGER) AS rank FROM (SELECT unnest({WORDS}) AS w FROM documents) GROUP BY 1"),
+    "h16_vocabulary_rank": (lambda s, d: _tokens(s, d).select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("n")).transform(sequences.positions, F.desc("n"), F.asc("w"), name="rank").withColumn("rank", F.col("rank").cast("int")), f"SELECT w, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, w) AS INTEGER) AS rank FROM (SELECT unnest({WORDS}) AS w FROM documents) GROUP BY 1"),
     "h17_tag_bigrams": (lambda s, d: _tagged(s, d).select("sent", "idx", F.lag("tag", 1, "start").over(Window.partitionBy("sent").orderBy("idx")).alias("before"), "tag"), f"SELECT sent, idx, lag(tag, 1, 'start') OVER (PARTITION BY sent ORDER BY idx) AS before, tag FROM {TAGGED}"),
     "j01_baskets": (lambda s, d: mining.baskets(_t(s, d, "lineitem"), "l_suppkey", "l_partkey").select("l_suppkey", F.size("items").cast("long").alias("n")), "SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1"),
     "j03_large_baskets": (lambda s, d: mining.baskets(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey").where(F.size("items") > 6).select("l_orderkey"), "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 6"),
@@ -176,12 +187,13 @@ DERIVED = {
     "k03_minhash": (lambda s, d: mining.minhash_pairs(_t(s, d, "lineitem"), "l_orderkey", "l_suppkey", 0.5, 50, 3).agg(F.count("*").alias("pairs")), None),
     "k08_knn": (lambda s, d: mining.knn(*_knn_sets(s, d), 5), "WITH tr AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 5 > 0), te AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 = 0), p AS (SELECT te.vec_id AS id, tr.label, row_number() OVER (PARTITION BY te.vec_id ORDER BY list_distance(te.v, tr.v), tr.vec_id) AS nth FROM te CROSS JOIN tr), c AS (SELECT id, label, count(*) AS w FROM p WHERE nth <= 5 GROUP BY 1, 2) SELECT id, label AS prediction FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1"),
     "k09_knn_regression": (lambda s, d: mining.knn_regression(*_knn_sets(s, d), 5).select("id", F.round("prediction", 6).alias("prediction")), "WITH tr AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 5 > 0), te AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 5 = 0) SELECT id, round(avg(label), 6) AS prediction FROM (SELECT te.vec_id AS id, tr.label, row_number() OVER (PARTITION BY te.vec_id ORDER BY list_distance(te.v, tr.v), tr.vec_id) AS nth FROM te CROSS JOIN tr) WHERE nth <= 5 GROUP BY 1"),
+    "k02_dense_ids": (lambda s, d: _t(s, d, "lineitem").select(F.col("l_suppkey").alias("k")).distinct().transform(sequences.positions, "k", name="nth").select("k", (F.col("nth") - 1).cast("int").alias("idx")), "SELECT k, dense_rank() OVER (ORDER BY k) - 1 AS idx FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem) t"),
     "l01_pearson": (lambda s, d: mining.pearson(_ratings(s, d)).select("a", "b", "n", F.round("corr", 6).alias("corr")), f"SELECT a, b, n, round(corr, 6) AS corr FROM {PEARSON}"),
     "m01_cooccurrence_graph": (_edges, f"SELECT src, dst FROM {EDGES}"),
     "m02_adjacency": (lambda s, d: graph.adjacency(_edges(s, d)).select("src", F.concat_ws(",", F.col("neighbours").cast("array<string>")).alias("neighbours")), f"SELECT src, array_to_string(list_sort(list(dst)), ',') AS neighbours FROM (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}) GROUP BY 1"),
-    "m03_label_propagation": (lambda s, d: graph.label_propagation(_edges(s, d)), None),
-    "m04_shortest_paths": (lambda s, d: graph.shortest_paths(_edges(s, d)), None),
-    "m06_betweenness": (lambda s, d: graph.betweenness(_edges(s, d)).orderBy(F.desc("betweenness"), "src", "dst"), None),
+    "m03_label_propagation": (lambda s, d: graph.label_propagation(_edges(s, d)), LABELS),
+    "m04_shortest_paths": (lambda s, d: graph.shortest_paths(_edges(s, d)), f"{PATHS} SELECT root, node, level, paths FROM p"),
+    "m06_betweenness": (lambda s, d: graph.betweenness(_edges(s, d)).orderBy(F.desc("betweenness"), "src", "dst"), f"{PATHS} SELECT least(u.src, u.dst) AS src, greatest(u.src, u.dst) AS dst, round(sum(CAST(a.paths * b.paths AS DOUBLE) / t.paths) / 2, 5) AS betweenness FROM u JOIN p a ON a.node = u.src JOIN p b ON b.root = u.dst JOIN p t ON t.root = a.root AND t.node = b.node AND t.level = a.level + 1 + b.level GROUP BY 1, 2"),
     "m07_girvan_newman": (lambda s, d: graph.girvan_newman(_edges(s, d)), None),
     "m08_modularity": (lambda s, d: graph.modularity(_edges(s, d), graph.both_ways(_edges(s, d)).select(F.col("src").alias("node"), (F.col("src") % 2).alias("c")).distinct()), f"WITH e AS (SELECT * FROM {EDGES}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), k AS (SELECT src AS node, src % 2 AS c, CAST(count(*) AS DOUBLE) AS k FROM u GROUP BY 1), m AS (SELECT count(*) / 2.0 AS m FROM u), kk AS (SELECT sum(x) AS kk FROM (SELECT (sum(k) * sum(k) - sum(k * k)) / 2 AS x FROM k GROUP BY c)), i AS (SELECT count(*) AS e FROM e WHERE src % 2 = dst % 2) SELECT round((i.e - kk.kk / (2 * m.m)) / (2 * m.m), 8) AS q FROM i, kk, m"),
     "m09_components": (lambda s, d: graph.components(_edges(s, d)), f"WITH RECURSIVE u AS (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), r AS (SELECT src AS node, src AS reach FROM u UNION SELECT r.node, u.dst FROM r JOIN u ON r.reach = u.src) SELECT node, min(reach) AS component FROM r GROUP BY 1"),

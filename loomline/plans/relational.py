@@ -41,8 +41,6 @@ SHARED = {
     "b04_select_aggregates": "SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean_price, max(o_totalprice) AS top, min(o_totalprice) AS low, count(*) AS n FROM orders GROUP BY 1",
     "b06_order_by_ordinal": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 7",
     "b08_filter_project": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000 AND o_totalprice <= 150000 AND o_orderstatus <> 'P'",
-    "c03_put_split": "SELECT s_suppkey, ntile(5) OVER (ORDER BY s_name, s_suppkey) AS part_id FROM supplier",
-    "c05_read_partition": "SELECT s_suppkey FROM (SELECT s_suppkey, ntile(5) OVER (ORDER BY s_name, s_suppkey) AS part_id FROM supplier) t WHERE part_id = 2",
     "c09_ancestor_walk": "WITH RECURSIVE up(node, anc, depth) AS (SELECT p_partkey, CAST(floor(p_partkey / 3) AS BIGINT), 1 FROM part UNION ALL SELECT node, CAST(floor(anc / 3) AS BIGINT), depth + 1 FROM up WHERE anc > 0) SELECT node, count(*) AS depth FROM up GROUP BY node",
     "d16_range_query": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 920 AND 950 ORDER BY p_retailprice, p_partkey",
     "d24_fallback_ladder": "SELECT c_custkey, coalesce(a.v, b.v, g.v) AS estimate FROM customer LEFT JOIN (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) a ON c_custkey = a.k LEFT JOIN (SELECT c_nationkey AS k, max(c_acctbal) AS v FROM customer WHERE c_acctbal > 9500 GROUP BY 1) b ON c_nationkey = b.k CROSS JOIN (SELECT max(c_acctbal) AS v FROM customer) g",

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sequences import tiles
+
 
 class Store:
     """Datasets below one root folder of any Hadoop file system; the folder tree is the metadata."""
@@ -47,10 +49,24 @@ class Store:
         if self.exists(path):
             raise FileExistsError(path)
         column = column or df.columns[0]
-        order = Window.orderBy(column, *[c for c in df.columns if c != column])
-        df.withColumn("part_id", F.ntile(parts).over(order)).write.partitionBy("part_id").parquet(str(self._at(path)))
+        if "part_id" in df.columns:
+            raise ValueError("part_id names the parts; rename the column")
+        numbered = tiles(df, parts, column, *[c for c in df.columns if c != column])
+        numbered.write.partitionBy("part_id").parquet(str(self._at(path)))
         self._fs.create(self._path(f"{self._at(path)}/_columns")).close()
 
+    def _put_file(self, file: str, folder: str, *more: str) -> None:
+        """A CSV file below a folder, under its name without suffix; a third word that is no number is the column."""
+        parts, column = 5, None
+        if more and more[0].isdigit():
+            parts, more = int(more[0]), more[1:]
+        if more:
+            (column,) = more
+        df = self.spark.read.option("header", True).option("inferSchema", True).csv(file)
+        if column is not None and column not in df.columns:
+            raise ValueError(f"no column {column}")
+        self.put(df, posixpath.join("/", folder, posixpath.splitext(posixpath.basename(file))[0]), parts, column)
+
     def cat(self, path: str) -> DataFrame:
         if not self._is_file(path):
             raise FileNotFoundError(path)
@@ -87,8 +103,10 @@ class Store:
         return {"title": name, "children": [self.tree(posixpath.join("/", path, n)) for n in names]}
 
     def run(self, command: str):
-        """A command line: mkdir, ls, cat, rm, rmdir, tree, getPartitionLocations, readPartition."""
+        """A command line: mkdir, ls, cat, rm, rmdir, tree, getPartitionLocations, readPartition, and put of a CSV file with a header: put file folder [parts] [column]."""
         name, *args = command.split()
+        if name == "put" and 2 <= len(args) <= 4:
+            return self._put_file(*args)
         table = {"mkdir": (self.mkdir, 1), "ls": (self.ls, 1), "cat": (self.cat, 1), "rm": (self.rm, 1), "rmdir": (self.rmdir, 1), "tree": (self.tree, 1), "getPartitionLocations": (self.partitions, 1), "readPartition": (lambda p, k: self.read_partition(p, int(k)), 2)}
         if name not in table or len(args) != table[name][1]:
             raise ValueError(f"usage: {', '.join(f'{n}/{a}' for n, (_, a) in table.items())}")

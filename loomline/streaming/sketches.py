@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trailing_zeros
+from ..operators.sequences import positions
 
 
 def numbered(rows: DataFrame, size: int, *order: str) -> DataFrame:
     """Adds ``batch``: the micro-batch, from 1, of ``size`` rows in order."""
-    return rows.withColumn("batch", F.ceil(F.row_number().over(Window.orderBy(*order)) / size))
+    return positions(rows, *order, name="_nth").withColumn("batch", F.ceil(F.col("_nth") / size)).drop("_nth")
 
 
 def bloom_false_positives(batches: DataFrame, key: str, bits: int = 69997, hashes: int = 3) -> DataFrame:
