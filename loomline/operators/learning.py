@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import positions
+
 
 def ranked(rows: DataFrame, id_column: str, by: list[str], seed: int = 0) -> DataFrame:
     """Adds ``nth`` and ``of``: the row's seeded place within its class and the size of the class."""
@@ -195,3 +197,16 @@ def self_training(rows: DataFrame, fit, steps: int, keep, most: int, seed_label:
         best = judged.orderBy(F.desc("margin"), "id").limit(most).select("id", F.col("prediction").alias("new"))
         now = keep(now.join(best, "id", "left").withColumn(seed_label, F.coalesce(seed_label, "new")).drop("new"))
     return now
+
+
+def auc(rows: DataFrame, score: str, label: str, key: str) -> DataFrame:
+    """One row auc: the share of pairs of a positive (label 1) and a negative (label 0) row that the score orders, ties half; null without one of them.
+
+    A row's rank is the mean place of the rows of its score; places come from
+    ranges, so no task takes the whole table. Rows without a score or with
+    another label take no part.
+    """
+    known = rows.where(F.col(score).isNotNull() & F.col(label).isin(0, 1)).select(F.col(score).alias("s"), F.col(label).alias("y"), F.col(key).alias("k"))
+    each = positions(known, "s", "k", name="nth").groupBy("s").agg(F.avg("nth").alias("rank"), F.count_if(F.col("y") == 1).alias("p"), F.count("*").alias("n"))
+    sums = each.agg(F.sum(F.col("rank") * F.col("p")).alias("ranks"), F.sum("p").cast("double").alias("p"), F.sum(F.col("n") - F.col("p")).cast("double").alias("q"))
+    return sums.select(F.try_divide(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))

@@ -44,7 +44,6 @@ SHARED = {
     "g23_quantile_cut": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < (SELECT percentile(o_totalprice, 0.95) FROM orders)",
     "g27_confusion": f"SELECT label, pred, count(*) AS n FROM {LABELLED} t GROUP BY 1, 2",
     "g27_metrics": f"SELECT round(avg(CASE WHEN label = pred THEN 1e0 ELSE 0e0 END), 8) AS accuracy, round(count(CASE WHEN label = 1 AND pred = 1 THEN 1 END) / CAST(count(CASE WHEN pred = 1 THEN 1 END) AS DOUBLE), 8) AS precision_1, round(count(CASE WHEN label = 1 AND pred = 1 THEN 1 END) / CAST(count(CASE WHEN label = 1 THEN 1 END) AS DOUBLE), 8) AS recall_1 FROM {LABELLED} t",
-    "g28_auc": f"SELECT round((sum(CASE WHEN label = 1 THEN r END) - count(CASE WHEN label = 1 THEN 1 END) * (count(CASE WHEN label = 1 THEN 1 END) + 1) / 2.0) / CAST(count(CASE WHEN label = 1 THEN 1 END) * count(CASE WHEN label = 0 THEN 1 END) AS DOUBLE), 8) AS auc FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM {LABELLED} t) x",
     "g30_granularity": "SELECT user_id, CAST(ts AS DATE) AS d, hour(ts) AS h, round(avg(floor(value)), 6) AS v FROM events GROUP BY 1, 2, 3",
     "g32_cross_tab": f"SELECT label, round(avg(CASE WHEN pred = 1 THEN score END), 8) AS pred_1, round(avg(CASE WHEN pred = 0 THEN score END), 8) AS pred_0 FROM {LABELLED} t GROUP BY label",
     "g33_totals_ratio": "SELECT round(sum(est) / sum(act), 8) AS ratio FROM (SELECT user_id, CAST(count(DISTINCT event_type) AS DOUBLE) AS est, CAST(count(*) AS DOUBLE) AS act FROM events GROUP BY 1) t",

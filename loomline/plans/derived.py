@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clusters, graph, mining, sequences
+from ..operators import clusters, graph, learning, mining, sequences
 from ..streaming import sketches
+from .analytic import LABELLED
 
 WORDS = "list_filter(string_split_regex(trim(lower(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))), ' +'), lambda x: x <> '')"
 RATINGS = "(SELECT \"user\", item, avg(stars) AS stars FROM (SELECT o_custkey AS \"user\", l_partkey AS item, CAST(1 + CAST(l_quantity AS BIGINT) % 5 AS DOUBLE) AS stars FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1, 2)"
@@ -128,6 +129,12 @@ def _split(spark, d):
     return sequences.tiles(_t(spark, d, "supplier").select("s_suppkey", "s_name"), 5, "s_name", "s_suppkey")
 
 
+def _auc(spark, d):
+    """The score and label of LABELLED as frames."""
+    rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id").select("doc_id", F.col("quality").alias("label"), (F.col("n_chars") % 97 / 97).alias("score"))
+    return learning.auc(rows, "score", "label", "doc_id").select(F.round("auc", 8).alias("auc"))
+
+
 def _asof(spark, d):
     """Last purchase value known at every error, by user."""
     e = _t(spark, d, "events")
@@ -173,6 +180,7 @@ DERIVED = {
     "f12_asof": (_asof, "SELECT event_id, last_value(p IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known FROM (SELECT *, CASE WHEN event_type = 'purchase' THEN value END AS p FROM events) QUALIFY event_type = 'error'"),
     "g09_pivot_sum": (lambda s, d: _t(s, d, "events").groupBy("user_id").pivot("event_type", ["click", "view", "error"]).agg(F.count("event_id")).select("user_id", F.coalesce("click", F.lit(0)).alias("click"), F.coalesce("view", F.lit(0)).alias("viewed"), F.coalesce("error", F.lit(0)).alias("error")), "SELECT user_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS click, count(CASE WHEN event_type = 'view' THEN 1 END) AS viewed, count(CASE WHEN event_type = 'error' THEN 1 END) AS error FROM events GROUP BY 1 HAVING true"),
     "g25_keyword_search": (lambda s, d: _tokens(s, d).select("doc_id", F.explode(F.array_distinct("tokens")).alias("w")).where(F.col("w").isin("the", "license", "of")).groupBy("doc_id").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), F.desc("doc_id")), f"SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(list_distinct({WORDS})) AS w FROM documents) WHERE w IN ('the', 'license', 'of') GROUP BY 1"),
+    "g28_auc": (_auc, f"SELECT round((sum(CASE WHEN label = 1 THEN r END) - count(CASE WHEN label = 1 THEN 1 END) * (count(CASE WHEN label = 1 THEN 1 END) + 1) / 2.0) / CAST(count(CASE WHEN label = 1 THEN 1 END) * count(CASE WHEN label = 0 THEN 1 END) AS DOUBLE), 8) AS auc FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM {LABELLED} t) x"),
     "g29_bootstrap": (_bootstrap, None),
     "g31_studentized_outliers": (_studentized, "WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS mx, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) AS sse FROM lineitem), r AS (SELECT l_orderkey, l_linenumber, l_extendedprice - a - b * l_quantity AS r, 1.0 / n + pow(l_quantity - mx, 2) / sxx AS h, n, sse FROM lineitem CROSS JOIN s) SELECT l_orderkey, l_linenumber FROM r WHERE abs(r / sqrt((sse - r * r / (1 - h)) / (n - 3) * (1 - h))) > 1.6"),
     "h07_fill_limited": (lambda s, d: sequences.forward_fill(_daily(s, d), "sparse", ["d"], limit=2).select("d", "sparse"), f"SELECT d, last_value(sparse IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS sparse FROM {DAILY}"),

@@ -200,7 +200,7 @@ DERIVED = {
     "e28_label_scores": (lambda s, d: _t(s, d, "labels").select("doc_id", F.array("quality", "toxic").alias("a")).select("doc_id", (T.hamming(F.col("a"), F.array(F.lit(1), F.lit(0))) / 2).alias("loss"), F.round(T.label_score(F.col("a"), F.array(F.lit(1), F.lit(0))), 6).alias("score"), (F.col("a") == F.array(F.lit(1), F.lit(0))).alias("exact")), "SELECT doc_id, (CAST(quality <> 1 AS BIGINT) + CAST(toxic <> 0 AS BIGINT)) / 2.0 AS loss, round(len(list_intersect([quality, toxic], [1, 0])) / CAST(len(list_distinct([quality, toxic, 1, 0])) AS DOUBLE), 6) AS score, quality = 1 AND toxic = 0 AS exact FROM labels"),
     "e29_analogy": (_analogy, "WITH w AS (SELECT list_transform(range(1, 65), lambda i: a.v[i] - b.v[i] + c.v[i]) AS w FROM (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0) a, (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 1) b, (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 2) c) SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), w), 6) AS c FROM embeddings CROSS JOIN w WHERE vec_id NOT IN (0, 1, 2) ORDER BY c DESC, id LIMIT 10"),
     "e30_mean_vector": (_word_vectors, f"SELECT doc_id, CAST(i AS INTEGER) AS i, round(sum(n * x) / sum(n), 6) AS m FROM (SELECT doc_id, CAST(length(w) AS BIGINT) AS id, count(*) AS n FROM (SELECT doc_id, unnest({WORDS}) AS w FROM documents) t GROUP BY 1, 2) a JOIN (SELECT vec_id AS id, unnest(range(8)) AS i, unnest(CAST(embedding AS DOUBLE[])[1:8]) AS x FROM embeddings) v USING (id) GROUP BY 1, 2"),
-    "e31_chunk_scores": (lambda s, d: _t(s, d, "documents").select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c")).where("c <> ''").groupBy("doc_id").agg(F.round(F.avg((F.char_length("c") - F.char_length(F.replace("c", F.lit("e"), F.lit("")))) / F.char_length("c")), 6).alias("score")), "SELECT doc_id, round(avg((length(c) - length(replace(c, 'e', ''))) / CAST(length(c) AS DOUBLE)), 6) AS score FROM (SELECT doc_id, substring(text, CAST(i * 512 + 1 AS BIGINT), 512) AS c FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 512.0) AS BIGINT))) AS i FROM documents)) WHERE c <> '' GROUP BY 1"),
+    "e31_chunk_scores": (lambda s, d: _t(s, d, "documents").select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c")).where("c <> ''").groupBy("doc_id").agg(F.round(F.avg((F.char_length("c") - F.char_length(F.replace("c", F.lit("e"), F.lit("")))) / F.char_length("c")), 10).alias("score")), "SELECT doc_id, round(avg((length(c) - length(replace(c, 'e', ''))) / CAST(length(c) AS DOUBLE)), 10) AS score FROM (SELECT doc_id, substring(text, CAST(i * 512 + 1 AS BIGINT), 512) AS c FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 512.0) AS BIGINT))) AS i FROM documents)) WHERE c <> '' GROUP BY 1"),
     "e34_prefix_columns": (lambda s, d: T.by_prefix(_t(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_ret", "l_line", "l_dis"]), "SELECT l_orderkey, l_linenumber, l_discount, l_returnflag, l_linestatus FROM lineitem"),
     "g05_collect": (lambda s, d: _collected(s, d), "SELECT l_orderkey, array_to_string(list_sort(list(CAST(l_suppkey AS VARCHAR))), ',') AS list_of, array_to_string(list_sort(list_distinct(list(CAST(l_suppkey AS VARCHAR)))), ',') AS set_of, string_agg(l_linenumber || ':' || l_suppkey, ',' ORDER BY l_linenumber, l_suppkey) AS dict_of FROM lineitem GROUP BY 1"),
     "g24_inverted_index": (lambda s, d: _tokens(s, d).select("doc_id", F.explode(F.array_distinct("tokens")).alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("p")).select("w", "n", F.concat_ws(",", F.col("p").cast("array<string>")).alias("postings")), f"SELECT w, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS postings FROM (SELECT doc_id, unnest(list_distinct({WORDS})) AS w FROM documents) GROUP BY 1"),

@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import graph, sequences
+from loomline.operators import graph, learning, sequences
 from loomline.sources.store import Store
 
 LINKS = [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6), (7, 8), (8, 9), (2, 5)]
@@ -102,3 +102,12 @@ def test_put_command(spark, tmp_path):
     assert [r.price for r in s.run("readPartition /a/cars 1").orderBy("price").collect()] == [84, 85, 86]
     with pytest.raises(ValueError):
         s.run("put x.csv")
+
+
+def test_auc_with_ties_and_nulls(spark):
+    rows = [(i, (i * 7 % 5) / 4, int(i % 3 == 0)) for i in range(40)] + [(40, None, 1), (41, 0.5, None)]
+    known = [(s, y) for _, s, y in rows if s is not None and y is not None]
+    pairs = [(a > b) + (a == b) / 2 for a, y in known if y for b, z in known if not z]
+    df = spark.createDataFrame(rows, "id long, score double, label int")
+    assert learning.auc(df, "score", "label", "id").first().auc == pytest.approx(sum(pairs) / len(pairs))
+    assert learning.auc(df.where("label = 1"), "score", "label", "id").first().auc is None
