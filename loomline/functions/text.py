@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,19 @@ def permission(octal: Column, directory: Column) -> Column:
 
 
 def epoch_ms(ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(ms), "MM/dd/yyyy HH:mm")
+    """MM/dd/year HH:mm; a year has four digits at least and no sign unless it is before 0."""
+    at = F.timestamp_millis(ms)
+    year = F.year(at).cast("string")
+    return F.concat(F.date_format(at, "MM/dd/"), F.when(F.year(at).between(0, 999), F.lpad(year, 4, "0")).otherwise(year), F.date_format(at, " HH:mm"))
+
+
+def ancestors(node: Column, parent: Callable[[Column], Column], most: int) -> Column:
+    """Parent, its parent and so on up to the first that is not above 0, for parents that are a function of the node; no chain may take more than ``most`` steps."""
+    def up(chain: Column, _: Column) -> Column:
+        top = F.element_at(chain, -1)
+        return F.when(top > 0, F.concat(chain, F.array(parent(top)))).otherwise(chain)
+
+    return F.aggregate(F.sequence(F.lit(2), F.lit(most)), F.array(parent(node)), up)
 
 
 def cosine(a: Column, b: Column) -> Column:

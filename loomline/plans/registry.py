@@ -14,5 +14,6 @@ _SHARED = relational.SHARED | analytic.SHARED | extended.SHARED
 _DERIVED = DERIVED | extended.DERIVED
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: spark_query(text) for name, text in _SHARED.items()}
 SQL: dict[str, str] = {name: duck(text) for name, text in _SHARED.items()}
+QUERIES |= extended.NATIVE
 QUERIES |= {name: run for name, (run, _) in _DERIVED.items()}
 SQL |= {name: text for name, (_, text) in _DERIVED.items() if text}
