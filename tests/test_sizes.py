@@ -35,7 +35,7 @@ def same(df, columns, rows):
     assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, map(tuple, rows)))
 
 
-@pytest.mark.parametrize("name", ["c09_ancestor_walk"])
+@pytest.mark.parametrize("name", ["c09_ancestor_walk", "m10_paths"])
 def test_recursion_has_no_row_limit(spark, name):
     with conf(spark, "spark.sql.cteRecursionRowLimit", "100"):  # 200 parts
         same(registry.QUERIES[name](spark, SF), *by_sql(name))
