@@ -39,3 +39,9 @@ def same(df, columns, rows):
 def test_recursion_has_no_row_limit(spark, name):
     with conf(spark, "spark.sql.cteRecursionRowLimit", "100"):  # 200 parts
         same(registry.QUERIES[name](spark, SF), *by_sql(name))
+
+
+def test_years_of_more_or_fewer_than_four_digits(spark, tmp_path):
+    days = [0, 1, -719163 * 1, -719529, -720000, -1_100_000, -500_000, 2932896, 2932897, 8_999_999]
+    duckdb.sql(f"copy (select unnest({days})::bigint as o_orderkey) to '{tmp_path}/orders.parquet'")
+    same(registry.QUERIES["e02_epoch_ms"](spark, str(tmp_path)), *by_sql("e02_epoch_ms", orders=f"{tmp_path}/orders.parquet"))
