@@ -1,10 +1,13 @@
 """Queries beyond the size, or outside the values, at which they once failed."""
 
+import random
 from contextlib import contextmanager
+from itertools import combinations
 
 import duckdb
 import pytest
 
+from loomline.operators import mining
 from loomline.plans import registry
 from loomline.plans.dialect import TABLES
 
@@ -45,3 +48,22 @@ def test_years_of_more_or_fewer_than_four_digits(spark, tmp_path):
     days = [0, 1, -719163 * 1, -719529, -720000, -1_100_000, -500_000, 2932896, 2932897, 8_999_999]
     duckdb.sql(f"copy (select unnest({days})::bigint as o_orderkey) to '{tmp_path}/orders.parquet'")
     same(registry.QUERIES["e02_epoch_ms"](spark, str(tmp_path)), *by_sql("e02_epoch_ms", orders=f"{tmp_path}/orders.parquet"))
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.5, 0.75, 1.0])
+def test_alike_sets_meet_once(spark, threshold):
+    rng = random.Random(5)
+    sets = {k: sorted(rng.sample(range(40), rng.choice([1, 1, 2, 2, 3, 4, 6, 9, 15, 17, 30]))) for k in range(150)}
+    want = [(a, b) for a, b in combinations(sets, 2) if len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= threshold]
+    found = mining._alike(spark.createDataFrame(list(sets.items()), "k long, items array<long>"), threshold)
+    assert sorted((r.a, r.b) for r in found.collect()) == want
+
+
+def test_no_candidate_leaves_the_join_of_minhash_pairs(spark):
+    """3,160 pairs share one item of five, some of them a band; 40 are alike."""
+    rows = spark.createDataFrame([(k, i) for k in range(80) for i in (0, *range(1 + k // 2 * 10, 4 + k // 2 * 10), 900 + k)], "k long, i long")
+    found = mining.minhash_pairs(rows, "k", "i", 0.5)
+    assert len(found.collect()) == 40
+    tree = found._jdf.queryExecution().executedPlan().toString()
+    final = tree.split("Initial Plan")[0]
+    assert "Exchange hashpartitioning(bucket" not in final and final.count("Join") == 1
