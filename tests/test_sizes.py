@@ -89,3 +89,15 @@ def test_parts_of_pairs_grow_with_the_table(spark, monkeypatch):
     assert {(r.a, r.b): r.n for r in pairs.collect()} == {(a, b): sum(b < k % 9 for k in range(60)) for a, b in combinations(range(8), 2)}
     for found in (graph.cooccurrence_edges(rows, "i", "k", 1), mining.jaccard(rows, "i", "k", 0.01), mining.itemsets(rows, "k", "i", 1, 2)):
         assert f", {2 * -(-rows.count() // 50)})" in _plan(found)
+
+
+def test_nearest_gap_without_a_cross_join(spark, tmp_path):
+    special = ["'nan'::double", "'inf'::double", "'-inf'::double", "null::double"]
+    numbers = [f"{x}::double" for x in (0, 3, 3, 7.5, -2, 100, 1e9)]
+    for n, (c, v) in enumerate([(special + numbers, numbers[2:]), (special + numbers, special), (special + numbers, special[1:2]), (special + numbers, special[:1]), (special + numbers, special[3:]), (special + numbers, special + numbers[1:3]), (numbers, [])]):
+        duckdb.sql(f"copy (select 1 + i % 9 as c_custkey, x as c_acctbal from (select unnest([{', '.join(c)}]) as x, unnest(range({len(c)})) as i)) to '{tmp_path}/customer.parquet'")
+        duckdb.sql(f"copy (select unnest([{', '.join(v)}]::double[]) as s_acctbal) to '{tmp_path}/supplier.parquet'")
+        found = registry.QUERIES["f09_nearest_target"](spark, str(tmp_path))
+        assert "NestedLoop" not in _plan(found) and "Cartesian" not in _plan(found)
+        same(found, *by_sql("f09_nearest_target", customer=f"{tmp_path}/customer.parquet", supplier=f"{tmp_path}/supplier.parquet"))
+        spark.catalog.clearCache()
