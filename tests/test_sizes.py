@@ -101,3 +101,32 @@ def test_nearest_gap_without_a_cross_join(spark, tmp_path):
         assert "NestedLoop" not in _plan(found) and "Cartesian" not in _plan(found)
         same(found, *by_sql("f09_nearest_target", customer=f"{tmp_path}/customer.parquet", supplier=f"{tmp_path}/supplier.parquet"))
         spark.catalog.clearCache()
+
+
+def test_votes_for_asked_pairs_rated_or_not(spark, monkeypatch):
+    monkeypatch.setattr(mining, "PAIRS", 40)  # many parts
+    rng = random.Random(9)
+    stars = {(u, i): float(rng.randrange(1, 6)) for u in range(14) for i in range(12) if rng.random() < 0.6}
+    ratings = spark.createDataFrame([(u, i, s) for (u, i), s in stars.items()], "user long, item long, stars double")
+    corr = {(r.a, r.b): r["corr"] for r in mining.pearson(ratings).collect()}
+    for (a, b), got in corr.items():
+        x, y = zip(*[(stars[u, a], stars[u, b]) for u in range(14) if (u, a) in stars and (u, b) in stars], strict=True)
+        n, mx, my = len(x), sum(x) / len(x), sum(y) / len(y)
+        low = (sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y)) ** 0.5
+        assert got == pytest.approx(sum((p - mx) * (q - my) for p, q in zip(x, y, strict=True)) / low if n > 1 and low > 1e-9 else 0, abs=1e-9)
+    asked = [(u, i) for u in range(16) for i in range(14) if (u + i) % 3]
+    found = {(r.user, r.item): r.prediction for r in mining.item_predictions(ratings, spark.createDataFrame(asked, "user long, item long"), 3, 1).collect()}
+    mean = lambda xs: sum(xs) / len(xs) if xs else None
+    for u, i in asked:
+        near = sorted((-round(c, 9), o, c) for o in range(12) if (u, o) in stars and o != i and (c := corr.get((min(i, o), max(i, o)), 0)) > 1e-12)[:3]
+        ua, ia = mean([s for (v, _), s in stars.items() if v == u]), mean([s for (_, j), s in stars.items() if j == i])
+        plain = (ua + ia) / 2 if ua and ia else ua or ia or 3.7
+        want = sum(c * stars[u, o] for _, o, c in near) / sum(c for _, _, c in near) if len(near) > 1 else plain
+        assert found[u, i] == pytest.approx(want)
+
+
+def test_new_users_and_items_need_no_correlations(spark, monkeypatch):
+    monkeypatch.setattr(mining, "_correlated", None)
+    ratings = spark.createDataFrame([(1, 1, 4.0), (1, 2, 2.0)], "user long, item long, stars double")
+    asked = spark.createDataFrame([(1, 9), (9, 1), (9, 9)], "user long, item long")
+    assert sorted(r.prediction for r in mining.item_predictions(ratings, asked).collect()) == [3.0, 3.7, 4.0]
