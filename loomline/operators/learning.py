@@ -11,10 +11,29 @@ from pyspark.sql import functions as F
 from .sequences import positions
 
 
-def ranked(rows: DataFrame, id_column: str, by: list[str], seed: int = 0) -> DataFrame:
-    """Adds ``nth`` and ``of``: the row's seeded place within its class and the size of the class."""
-    order = Window.partitionBy(*by).orderBy(F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f"/{seed}"))), id_column)
-    return rows.withColumn("nth", F.row_number().over(order)).withColumn("of", F.count("*").over(Window.partitionBy(*by)))
+SLICES = 3  # hex digits of a hash by which a class is ranked in parts: 4,096
+
+
+def ranked(rows: DataFrame, id_column: str, by: list[str], seed: int = 0, ties: str | None = None) -> DataFrame:
+    """Adds ``nth`` and ``of``: the row's seeded place within its class and the size of the class; rows of equal hash by ``ties``, else by the id.
+
+    A class is ranked in slices of the hash, each after the rows of those before
+    it: classes may be few, and no task takes a whole one. Only the counts of the
+    slices, 4,096 of a class, meet in one.
+    """
+    from .mining import tasks
+
+    parts = tasks(rows)
+    hashed = F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f"/{seed}")))
+    place = [F.struct(*by).alias("_class"), F.coalesce(F.substring(hashed, 1, SLICES), F.lit("")).alias("_slice")]  # a struct of nulls equals another
+    counts = rows.select(*place).groupBy("_class", "_slice").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("_class")
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.select("_class", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("of"))
+    inside = Window.partitionBy("_class", "_slice").orderBy("_hash", ties or id_column)
+    placed = rows.select("*", F.unhex(hashed).alias("_hash"), *place).repartition(parts, "_class", "_slice").withColumn("_at", F.row_number().over(inside))
+    joined = placed.join(sums.repartition(parts, "_class", "_slice"), ["_class", "_slice"])
+    return joined.withColumn("nth", F.col("_before") + F.col("_at")).select(*rows.columns, "nth", "of")
 
 
 def stratified_split(rows: DataFrame, id_column: str, by: list[str], share: float = 0.8, seed: int = 0) -> DataFrame:

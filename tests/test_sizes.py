@@ -2,13 +2,14 @@
 
 import random
 from contextlib import contextmanager
+from hashlib import md5
 from itertools import combinations
 
 import duckdb
 import numpy as np
 import pytest
 
-from loomline.operators import graph, mining
+from loomline.operators import graph, learning, mining
 from loomline.plans import registry
 from loomline.plans.dialect import TABLES
 
@@ -147,3 +148,21 @@ def test_screening_keeps_what_may_be_nearest(metric):
         d = measure(near - asks[x])
         assert set(np.flatnonzero(d <= np.sort(d)[4])) <= set(j[i == x])
     assert len(mining._screened(near[:4], asks, 5, measure.screen)[0]) == 200
+
+
+def test_a_class_is_ranked_in_parts(spark):
+    rows = spark.createDataFrame([(i, "few" if i < 7 else None if i % 50 == 1 else "many") for i in range(3000)], "id long, class string")
+    found = learning.ranked(rows, "id", ["class"])
+    assert "_slice" in next(line for line in _plan(found).splitlines() if "Window [row_number" in line)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["class"], []).append((r.nth, r.id, r.of))
+    assert set(got) == {"few", None, "many"}
+    for of in got.values():
+        want = sorted((i for _, i, _ in of), key=lambda i: md5(f"{i}/0".encode()).hexdigest())
+        assert sorted(of) == [(n + 1, i, len(of)) for n, i in enumerate(want)]
+    for name in ("r01_stratified_split", "r11_undersampling", "r19_learning_curve"):
+        df = registry.QUERIES[name](spark, SF)
+        windows = [line for line in _plan(df).splitlines() if "Window [row_number" in line]
+        assert windows and all("_slice" in line for line in windows)
+        same(df, *by_sql(name))
