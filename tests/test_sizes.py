@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from loomline.operators import graph, learning, mining
+from loomline.operators import graph, learning, mining, sequences
 from loomline.plans import registry
 from loomline.plans.dialect import TABLES
 
@@ -166,3 +166,21 @@ def test_a_class_is_ranked_in_parts(spark):
         windows = [line for line in _plan(df).splitlines() if "Window [row_number" in line]
         assert windows and all("_slice" in line for line in windows)
         same(df, *by_sql(name))
+
+
+def test_texts_are_cut_in_their_row(spark, tmp_path, monkeypatch):
+    """No word is exploded or shuffled as text; repeated ids count together as in the SQL."""
+    monkeypatch.setattr(sequences, "HELD_WORDS", 3)
+    texts = [(1, "The cat, THE hat; K9"), (2, "a ä BK c-c c"), (2, "cat the the end"), (3, ""), (4, None), (5, " -- "), (6, "the end of the end")]
+    rows = ", ".join(f"({i}, {'null' if t is None else repr(t)})" for i, t in texts)
+    for name, kept in (("p07_tfidf", rows), ("p09_index_sequences", rows.replace("(2, 'cat", "(7, 'cat")), ("e30_mean_vector", rows)):
+        path = f"{tmp_path}/{name}"
+        duckdb.sql(f"copy (select * from (values {kept}) t(doc_id, text)) to '{path}.parquet'")
+        (tmp_path / f"{name}_d").mkdir()
+        duckdb.sql(f"copy (select * from '{path}.parquet') to '{path}_d/documents.parquet'")
+        duckdb.sql(f"copy (select * from '{SF}/embeddings.parquet') to '{path}_d/embeddings.parquet'")
+        df = registry.QUERIES[name](spark, f"{path}_d")
+        if name != "e30_mean_vector":
+            assert "MapInArrow" in _plan(df) and "explode" not in _plan(df)
+        columns, want = by_sql(name, documents=f"{path}.parquet")
+        same(df, columns, want)
