@@ -184,3 +184,8 @@ def test_texts_are_cut_in_their_row(spark, tmp_path, monkeypatch):
             assert "MapInArrow" in _plan(df) and "explode" not in _plan(df)
         columns, want = by_sql(name, documents=f"{path}.parquet")
         same(df, columns, want)
+
+
+def test_parts_of_boosted_trees_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mining, "EACH", 300)  # of 6,000 lines
+    assert registry.QUERIES["l05_boosted_trees"](spark, SF).rdd.getNumPartitions() == 20
