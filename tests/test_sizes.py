@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from loomline.operators import graph, learning, mining, sequences
-from loomline.plans import registry
+from loomline.plans import derived, registry
 from loomline.plans.dialect import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -189,3 +189,10 @@ def test_texts_are_cut_in_their_row(spark, tmp_path, monkeypatch):
 def test_parts_of_boosted_trees_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(mining, "EACH", 300)  # of 6,000 lines
     assert registry.QUERIES["l05_boosted_trees"](spark, SF).rdd.getNumPartitions() == 20
+
+
+def test_parts_of_ratings_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mining, "EACH", 300)
+    df = registry.QUERIES["l03_cold_start"](spark, SF)
+    same(df, *by_sql("l03_cold_start"))
+    assert derived._ratings(spark, SF).rdd.getNumPartitions() == 20
